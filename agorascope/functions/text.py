@@ -13,5 +13,13 @@ def tokens(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of whitespace-separated words; 0 for empty or missing text."""
-    return F.coalesce(F.size(tokens(text)), F.lit(0)).cast("long")
+    """Number of whitespace-separated words; 0 for empty or missing text.
+
+    Only the first and the last piece of a split can be empty.
+    """
+    pieces = F.split(text, WHITESPACE)
+    n = F.size(pieces)
+    empty = (F.element_at(pieces, 1) == "").cast("int") + (
+        (n > 1) & (F.element_at(pieces, -1) == "")
+    ).cast("int")
+    return F.coalesce(n - empty, F.lit(0)).cast("long")

@@ -20,8 +20,8 @@ class Corpus:
     and counted a single time however many operators follow.
     """
 
-    COLUMNS = ["message_id", "tree_id", "parent", "author", "ts", "words", "tags"]
     # messages without times or tags (plain threads) serve the thread operators only
+    COLUMNS = ["message_id", "tree_id", "parent", "author", "ts", "words", "tags"]
 
     def __init__(
         self, messages: DataFrame, tags: list[str] = TAGS, limits: Limits = DEFAULT_LIMITS
@@ -37,9 +37,16 @@ class Corpus:
             core = core.withColumn("marks", array_sum(F.col("tags")).cast("long"))
         return stage(core)
 
+    def columns(self, *names: str) -> DataFrame:
+        """Some columns of the messages: from the written table if there is one or if it is
+        needed, else straight from the source, where the text is pruned away."""
+        if "messages" in self.__dict__ or {"words", "marks"} & set(names):
+            return self.messages.select(*names)
+        return self._source.select(*names)
+
     @cached_property
     def thread_sizes(self) -> DataFrame:
-        return self.messages.groupBy("tree_id").agg(F.count(F.lit(1)).alias("thread_size"))
+        return self.columns("tree_id").groupBy("tree_id").agg(F.count(F.lit(1)).alias("thread_size"))
 
     @cached_property
     def _shape(self) -> tuple[int, int]:
@@ -62,12 +69,14 @@ class Corpus:
 
     @cached_property
     def links(self) -> DataFrame:
-        return cut(parent_links(self.messages, self.rows, self.limits))
+        return cut(
+            parent_links(self.columns("message_id", "tree_id", "parent"), self.rows, self.limits)
+        )
 
     @cached_property
     def tree_visits(self) -> DataFrame:
         """(message_id, tree_id, lo, hi, size): seen from the own row of the thread onwards."""
-        rows = self.messages.select("message_id", "tree_id")
+        rows = self.columns("message_id", "tree_id")
         block = F.shiftright("message_id", self.limits.block_bits) if self.wide else None
         ranked = running(
             rows.withColumn("one", F.lit(1).cast("long")),

@@ -34,7 +34,7 @@ def author_means(
     sums = [F.sum(c).alias(c) for c in names]
     count = F.count(F.lit(1)).alias("n")
     columns = ["message_id", "tree_id", "author"]
-    placed = corpus.messages.select(*columns) if folds is None else in_folds(corpus, folds, columns)
+    placed = corpus.columns(*columns) if folds is None else in_folds(corpus, folds, columns)
     values = placed.where(F.col("author").isNotNull()).join(
         embeddings.select("message_id", *_components(d)), "message_id"
     )
@@ -61,7 +61,7 @@ def context_means(corpus: Corpus, embeddings: DataFrame, d: int, level: str) ->
     """(message_id, mean): the author's messages in the context, this one included."""
     names = [f"e{i}" for i in range(d)]
     values = (
-        corpus.messages.select("message_id", "author", F.lit(1).cast("long").alias("one"))
+        corpus.columns("message_id", "author").withColumn("one", F.lit(1).cast("long"))
         .join(embeddings.select("message_id", *_components(d)), "message_id")
     )
     events = author_events(corpus, level, values, ["one", *names])

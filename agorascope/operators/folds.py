@@ -48,7 +48,7 @@ def group_folds(corpus: Corpus, n_folds: int = N_FOLDS) -> DataFrame:
     into even blocks for ranking.  Only the histogram of sizes reaches the driver; N messages
     have at most sqrt(2 N) different thread sizes.
     """
-    spark = corpus.messages.sparkSession
+    spark = corpus.thread_sizes.sparkSession
     histogram = [
         (r["thread_size"], r["count"])
         for r in corpus.thread_sizes.groupBy("thread_size").count().collect()
@@ -74,11 +74,10 @@ def group_folds(corpus: Corpus, n_folds: int = N_FOLDS) -> DataFrame:
     )
 
 
-def in_folds(corpus: Corpus, folds: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Messages with the `fold` of their thread."""
-    df = corpus.messages if columns is None else corpus.messages.select(*columns)
+def in_folds(corpus: Corpus, folds: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns of the messages, tree_id among them, with the `fold` of their thread."""
     return lookup_join(
-        df, folds.select("tree_id", "fold"), ["tree_id"], corpus.rows, "inner", corpus.limits
+        corpus.columns(*columns), folds.select("tree_id", "fold"), ["tree_id"], corpus.rows, "inner", corpus.limits
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.scaling import array_sum, diversity, minmax, ratio_or_zero, scale_row
 from ..schema import N_FOLDS, SCALED, TAGS, profile_columns
 from .context import message_contexts
+from ..settings import stage
 from .corpus import Corpus
 from .skew import lookup_join
 
@@ -116,14 +117,12 @@ def default_profile(forum: DataFrame, n_tags: int = len(TAGS)) -> DataFrame:
 def with_fallback(
     contexts: DataFrame, forum: DataFrame, default: DataFrame, corpus: Corpus, fits: int = 1
 ) -> DataFrame:
-    """Add `tag_sums`: the history, or where there is none the forum's or the default's tags.
+    """Contexts without history, with `tag_sums` from the forum or else the default profile.
 
-    `contexts` carries `fit`.  Only messages without history are looked up.
+    `contexts` carries `fit`.
     """
-    has_history = F.col("n") > 1
-    old = contexts.where(has_history).withColumn("tag_sums", F.col("history"))
-    new = lookup_join(
-        contexts.where(~has_history),
+    known = lookup_join(
+        contexts,
         forum.select("fit", "author", F.col("tags").alias("forum_tags")),
         ["fit", "author"],
         corpus.rows * 2 * fits,
@@ -134,10 +133,23 @@ def with_fallback(
         F.broadcast(default.select("fit", F.col("tags").alias("default_tags"))), "fit"
     )
     chosen = F.coalesce("forum_tags", "default_tags")
-    new = new.withColumn(
+    return known.withColumn(
         "tag_sums", F.transform(chosen, lambda t: F.coalesce(t, F.lit(0.0)))
     ).drop("forum_tags", "default_tags")
-    return old.unionByName(new)
+
+
+def with_tags(
+    contexts: DataFrame, forum: DataFrame, corpus: Corpus, fits: list[int]
+) -> tuple[DataFrame, DataFrame]:
+    """Contexts with `tag_sums`, in two parts: those that have a history, which are the same
+    for every fit, and those that have none, once per fit with that fit's fallback."""
+    has_history = F.col("n") > 1
+    old = contexts.where(has_history).withColumn("tag_sums", F.col("history"))
+    new = contexts.where(~has_history).withColumn(
+        "fit", F.explode(F.array(*[F.lit(k) for k in fits]))
+    )
+    default = default_profile(forum, len(corpus.tags))
+    return old, with_fallback(new, forum, default, corpus, len(fits))
 
 
 def context_profile(contexts: DataFrame, n_tags: int = len(TAGS), mode: str = "sequential") -> DataFrame:
@@ -150,7 +162,7 @@ def context_profile(contexts: DataFrame, n_tags: int = len(TAGS), mode: str = "s
             "avg_tag_msg": ratio_or_zero(array_sum(F.col("tag_sums")), F.col("n").cast("double")),
         }
     ).select(
-        "fit", "level", "message_id", "author",
+        *[c for c in ("fit", "level", "message_id", "author") if c in contexts.columns],
         *_scaled(low, high, F.col("tag_sums"), n_tags, mode),
     )
 
@@ -169,18 +181,15 @@ def message_profiles(
     they are built once and only the fallback tags differ.
     """
     if forum is None:
-        forum = forum_profile(corpus, folds, n_folds, mode)
-    contexts = message_contexts(corpus, levels)
-    if folds is None:
-        contexts, fits = contexts.withColumn("fit", F.lit(ALL)), 1
-    else:
-        fits = n_folds
-        contexts = contexts.withColumn(
-            "fit", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))
-        )
-    default = default_profile(forum, len(corpus.tags))
-    filled = with_fallback(contexts, forum, default, corpus, fits)
-    return context_profile(filled, len(corpus.tags), mode)
+        forum = stage(forum_profile(corpus, folds, n_folds, mode))
+    fits = [ALL] if folds is None else list(range(n_folds))
+    contexts = stage(message_contexts(corpus, levels))
+    old, new = with_tags(contexts, forum, corpus, fits)
+    n_tags = len(corpus.tags)
+    # profiles with a history are scaled once, and repeated for the fits afterwards
+    once = context_profile(old, n_tags, mode)
+    every = F.explode(F.array(*[F.lit(k) for k in fits]))
+    return once.withColumn("fit", every).unionByName(context_profile(new, n_tags, mode))
 
 
 def flatten(profiles: DataFrame, tags: list[str], suffix: str = "", cast: str = "double") -> DataFrame:

@@ -15,6 +15,7 @@ from ..schema import N_FOLDS, NO_PARENT, profile_columns
 from ..settings import stage
 
 LEVELS = ["forum", "tree", "branch"]
+METHODS = ["behaviour", "embedding", "combined"]
 
 
 def as_vector(tags: Column = None) -> Column:
@@ -45,6 +46,7 @@ class Design:
         self.embeddings = embeddings
         self.n_folds = n_folds
         self._folds = folds
+        self._matrices: dict[str, DataFrame] = {}
 
     @cached_property
     def folds(self) -> DataFrame:
@@ -137,7 +139,7 @@ class Design:
     @cached_property
     def embedding(self) -> DataFrame:
         """3 x d numbers: mean embedding of the author in the same three contexts."""
-        levels = self.corpus.messages.select("message_id")
+        levels = self.corpus.columns("message_id")
         for level in LEVELS[1:]:
             part = context_means(self.corpus, self.embeddings, self.width, level)
             levels = levels.join(
@@ -159,14 +161,22 @@ class Design:
             ).alias("features"),
         )
 
-    @cached_property
+    @property
     def combined(self) -> DataFrame:
         on = ["fit", "split", "message_id"]
-        right = self.embedding.withColumnRenamed("features", "more")
-        return self.behaviour.join(right, on).select(
+        right = self.matrix("embedding").withColumnRenamed("features", "more")
+        return self.matrix("behaviour").join(right, on).select(
             *on, F.concat("features", "more").alias("features")
         )
 
+    def matrix(self, method: str) -> DataFrame:
+        """The matrix of a method, written on first use: several configurations share it."""
+        if method not in METHODS:
+            raise ValueError(f"unknown method {method!r}")
+        if method not in self._matrices:
+            self._matrices[method] = stage(getattr(self, method))
+        return self._matrices[method]
+
     # --- last user ------------------------------------------------------------------------
 
     def default_vector(self, method: str) -> DataFrame:
@@ -182,10 +192,6 @@ class Design:
             return both.select("fit", F.concat("vector", "more").alias("vector"))
         raise ValueError(f"unknown method {method!r}")
 
-    def matrix(self, method: str) -> DataFrame:
-        return {"behaviour": lambda: self.behaviour, "embedding": lambda: self.embedding,
-                "combined": lambda: self.combined}[method]()
-
     @cached_property
     def last_user(self) -> DataFrame:
         """(fit, split, message_id, last_user): parent within the same split, else -1."""
@@ -222,7 +228,7 @@ class Design:
 
         `current` is (message_id, embedding) of the messages themselves.
         """
-        x = stage(self.matrix(method))
+        x = self.matrix(method)
         last = self.last_user_features(method, x).withColumnRenamed("features", "last")
         on = ["fit", "split", "message_id"]
         return (

@@ -19,7 +19,7 @@ from .operators.embedding import (
 from .operators.forest import leaf_paths, leaves
 from .operators.profile import (
     ALL, author_totals, default_profile, flatten, forum_profile, fit_totals, message_profiles,
-    raw_profile, with_fallback,
+    raw_profile, with_tags,
 )
 from .operators.skew import running
 from .plans import experiment, metrics
@@ -164,7 +164,7 @@ def context_branch(spark, sf):
 
 def running_activity(spark, sf):
     c = _corpus(spark, sf)
-    rows = c.messages.select("message_id", "tree_id", "author", "ts", F.lit(1).cast("long").alias("one"))
+    rows = c.columns("message_id", "tree_id", "author", "ts").withColumn("one", F.lit(1).cast("long"))
     block = F.shiftright("message_id", c.limits.block_bits) if c.wide else None
     out = running(
         rows, ["tree_id", "author"], "message_id",
@@ -182,7 +182,8 @@ def group_kfold(spark, sf):
 
 def _placed(spark, sf):
     c = _corpus(spark, sf)
-    return c, fold_ops.in_folds(c, fold_ops.group_folds(c))
+    columns = ["message_id", "tree_id", "author"]
+    return c, fold_ops.in_folds(c, fold_ops.group_folds(c), columns)
 
 
 def fold_split_sizes(spark, sf):
@@ -263,9 +264,8 @@ def default_profile_query(spark, sf):
 def tag_history_fallback(spark, sf):
     c = _corpus(spark, sf)
     forum = forum_profile(c)
-    contexts = message_contexts(c, ["tree"]).withColumn("fit", F.lit(ALL))
-    filled = with_fallback(contexts, forum, default_profile(forum), c)
-    return filled.select("message_id", *[_r(F.col("tag_sums")[i]).alias(t) for i, t in enumerate(TAGS)])
+    old, new = with_tags(message_contexts(c, ["tree"]), forum, c, [ALL])
+    return old.unionByName(new.drop("fit")).select("message_id", *[_r(F.col("tag_sums")[i]).alias(t) for i, t in enumerate(TAGS)])
 
 
 def _profile(spark, sf, level):
@@ -292,7 +292,7 @@ def profiles_for_fold(spark, sf):
 
 def _vectors(spark, sf):
     c = _corpus(spark, sf)
-    e = benchmark_embeddings(spark, sf, c.messages)
+    e = benchmark_embeddings(spark, sf, c.columns("message_id"))
     return c, e, width(e)
 
 
@@ -307,7 +307,7 @@ def author_mean_embedding(spark, sf):
 
 def emb_forum(spark, sf):
     c, e, d = _vectors(spark, sf)
-    rows = c.messages.select(F.lit(ALL).alias("fit"), "message_id", "author")
+    rows = c.columns("message_id", "author").withColumn("fit", F.lit(ALL))
     out = forum_means(c, author_means(c, e, d), rows)
     return spread(out.select("message_id", "mean"), "mean", _names(d))
 
@@ -332,7 +332,7 @@ def embed_text_hashed(spark, sf):
 
 def _design(spark, sf, vectors=False):
     c = _corpus(spark, sf)
-    return Design(c, benchmark_embeddings(spark, sf, c.messages) if vectors else None)
+    return Design(c, benchmark_embeddings(spark, sf, c.columns("message_id")) if vectors else None)
 
 
 def _embedding_names(d):
@@ -394,7 +394,7 @@ def feature_store_roundtrip(spark, sf):
         F.lit("behaviour").alias("method"), F.col("fit").alias("fold"), F.lit("forum").alias("level"),
         F.lit("train").alias("split"), "*",
     ).drop("fit")
-    store = FeatureStore(spark, _folder(spark, "features"), fingerprint(c.messages))
+    store = FeatureStore(spark, _folder(spark, "features"), fingerprint(c.columns(*Corpus.COLUMNS)))
     store.write(features)
     out = store.read(method="behaviour", level="forum", split="train")
     return _rounded(out.select("fold", "author", *profile_columns()), profile_columns())
