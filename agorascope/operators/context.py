@@ -42,7 +42,7 @@ def author_events(
         leave = (
             visits.where("hi < size")
             .groupBy(*AUTHOR, F.col("hi").alias("pos"))
-            .agg(F.max("size").alias("size"), *[(-F.sum(c)).alias(c) for c in columns])
+            .agg(F.max("size").alias("size"), *[F.expr(f"-sum({c}) AS {c}") for c in columns])
             .withColumns({"kind": F.lit(0), "message_id": F.lit(None).cast("long")})
         )
         if with_time:
@@ -90,22 +90,17 @@ def author_states(corpus: Corpus, level: str) -> DataFrame:
     `history` holds the tag sums over the author's visible messages without the entering one.
     """
     tags = range(len(corpus.tags))
-    values = corpus.messages.select(
-        "message_id", "author", "ts", "words", "marks",
-        F.lit(1).cast("long").alias("one"),
-        *[F.col("tags")[i].cast("long").alias(f"t{i}") for i in tags],
+    values = corpus.messages.selectExpr(
+        "message_id", "author", "ts", "words", "marks", "1L AS one",
+        *[f"CAST(tags[{i}] AS BIGINT) AS t{i}" for i in tags],
     )
     columns = ["one", "words", "marks", *[f"t{i}" for i in tags]]
     events = author_events(corpus, level, values, columns, with_time=True)
-    keep = [
+    earlier = ", ".join(f"sum_t{i} - t{i}" for i in tags)
+    events = events.selectExpr(
         *AUTHOR, "step", "pos", "kind", "message_id", "size", "next_pos",
         "sum_one", "sum_words", "sum_marks", "ts", "min_ts", "max_ts",
-    ]
-    events = events.select(
-        *keep,
-        F.array(*[(F.col(f"sum_t{i}") - F.col(f"t{i}")).cast("double") for i in tags]).alias(
-            "history"
-        ),
+        f"CAST(array({earlier}) AS ARRAY<DOUBLE>) AS history",
     )
     if level == "branch":
         events = _visible_times(corpus, stage(events))

@@ -18,8 +18,8 @@ def width(embeddings: DataFrame) -> int:
     return row["d"] if row else 0
 
 
-def _components(d: int) -> list:
-    return [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(d)]
+def _components(d: int) -> list[str]:
+    return [f"CAST(embedding[{i}] AS DOUBLE) AS e{i}" for i in range(d)]
 
 
 def author_means(
@@ -31,12 +31,12 @@ def author_means(
     One hash aggregation with a buffer per component, so vectors are never exploded.
     """
     names = [f"e{i}" for i in range(d)]
-    sums = [F.sum(c).alias(c) for c in names]
+    sums = [F.expr(f"sum({c}) AS {c}") for c in names]
     count = F.count(F.lit(1)).alias("n")
     columns = ["message_id", "tree_id", "author"]
     placed = corpus.columns(*columns) if folds is None else in_folds(corpus, folds, columns)
     values = placed.where(F.col("author").isNotNull()).join(
-        embeddings.select("message_id", *_components(d)), "message_id"
+        embeddings.selectExpr("message_id", *_components(d)), "message_id"
     )
     if folds is None:
         totals = values.groupBy("author").agg(count, *sums).withColumn("fit", F.lit(ALL))
@@ -47,13 +47,14 @@ def author_means(
             .where(F.col("fit") != F.col("fold"))
             .groupBy("fit", "author").agg(F.sum("n").alias("n"), *sums)
         )
-    return totals.select("fit", "author", F.array(*[F.col(c) / F.col("n") for c in names]).alias("mean"))
+    means = ", ".join(f"{c} / n" for c in names)
+    return totals.selectExpr("fit", "author", f"array({means}) AS mean")
 
 
 def default_mean(means: DataFrame, d: int) -> DataFrame:
     """(fit, mean): every author counts once."""
     return means.groupBy("fit").agg(
-        F.array(*[F.avg(F.col("mean")[i]) for i in range(d)]).alias("mean")
+        F.expr(f"array({', '.join(f'avg(mean[{i}])' for i in range(d))}) AS mean")
     )
 
 
@@ -62,12 +63,11 @@ def context_means(corpus: Corpus, embeddings: DataFrame, d: int, level: str) ->
     names = [f"e{i}" for i in range(d)]
     values = (
         corpus.columns("message_id", "author").withColumn("one", F.lit(1).cast("long"))
-        .join(embeddings.select("message_id", *_components(d)), "message_id")
+        .join(embeddings.selectExpr("message_id", *_components(d)), "message_id")
     )
     events = author_events(corpus, level, values, ["one", *names])
-    return events.where("kind = 1").select(
-        "message_id", F.array(*[F.col(f"sum_{c}") / F.col("sum_one") for c in names]).alias("mean")
-    )
+    means = ", ".join(f"sum_{c} / sum_one" for c in names)
+    return events.where("kind = 1").selectExpr("message_id", f"array({means}) AS mean")
 
 
 def forum_means(corpus: Corpus, means: DataFrame, messages: DataFrame, repeats: int = 1) -> DataFrame:

@@ -7,7 +7,7 @@ before the join, and the result grows as n log n however many intervals overlap.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..settings import DEFAULT_LIMITS, Limits
 
@@ -19,26 +19,22 @@ def _node(level: str, index: str) -> str:
     return f"shiftleft(1L, {TOP} - ({level})) + ({index})"
 
 
-def cover(low: str, high: str) -> Column:
-    """Array of the nodes that together cover [low, high)."""
+def cover(low: str, high: str) -> str:
+    """Array of the nodes that together cover [low, high), as an expression."""
     left = f"shiftright({low} + shiftleft(1L, k) - 1L, k)"
     right = f"shiftright({high}, k)"
-    return F.expr(
-        f"""filter(flatten(transform(
+    return f"""filter(flatten(transform(
               sequence(0, length(bin({high} - {low})) - 1),
               k -> array(
                 case when {left} < {right} and {left} % 2 = 1 then {_node('k', left)} end,
                 case when {left} < {right} and {right} % 2 = 1
                      then {_node('k', right + ' - 1')} end))),
             n -> n is not null)"""
-    )
 
 
-def nodes_above(position: str, first: str, last: str) -> Column:
-    """Array of the nodes that contain `position`, from level `first` to level `last`."""
-    return F.expr(
-        f"transform(sequence({first}, {last}), k -> {_node('k', f'shiftright({position}, k)')})"
-    )
+def nodes_above(position: str, first: str, last: str) -> str:
+    """Array of the nodes that contain `position` from level `first` to level `last`."""
+    return f"transform(sequence({first}, {last}), k -> {_node('k', f'shiftright({position}, k)')})"
 
 
 def covering_extremes(
@@ -58,15 +54,13 @@ def covering_extremes(
     A key with more than 2**fine_bits positions is resolved in two steps, first once per block
     of positions and then inside the blocks, so no node is probed by more than a block's rows.
     """
-    extremes = [F.min(f"lo_{v}").alias(f"lo_{v}") for v in values] + [
-        F.max(f"hi_{v}").alias(f"hi_{v}") for v in values
-    ]
     names = [f"lo_{v}" for v in values] + [f"hi_{v}" for v in values]
-    pieces = intervals.where("lo < hi").select(
+    extremes = [F.expr(f"{'min' if n.startswith('lo_') else 'max'}({n}) AS {n}") for n in names]
+    pieces = intervals.where("lo < hi").selectExpr(
         *keys,
-        F.explode(cover("lo", "hi")).alias("node"),
-        *[F.col(v).alias(f"lo_{v}") for v in values],
-        *[F.col(v).alias(f"hi_{v}") for v in values],
+        f"explode({cover('lo', 'hi')}) AS node",
+        *[f"{v} AS lo_{v}" for v in values],
+        *[f"{v} AS hi_{v}" for v in values],
     )
     nodes = pieces.groupBy(*keys, "node").agg(*extremes)
     top = "length(bin(size)) - 1"
@@ -78,14 +72,10 @@ def covering_extremes(
             .select(*keys, F.expr(f"shiftright(pos, {fine})").alias("block"), "size")
             .distinct()
         )
-        at_block = F.expr(f"shiftleft(block, {fine})")
-        probes = blocks.withColumn("start", at_block).select(
-            *keys,
-            "block",
-            F.explode(nodes_above("start", str(fine + 1), f"greatest({fine + 1}, {top})")).alias(
-                "node"
-            ),
+        above = nodes_above(
+            f"shiftleft(block, {fine})", str(fine + 1), f"greatest({fine + 1}, {top})"
         )
+        probes = blocks.selectExpr(*keys, "block", f"explode({above}) AS node")
         resolved = (
             probes.join(nodes, [*keys, "node"])
             .groupBy(*keys, "block")
@@ -96,9 +86,7 @@ def covering_extremes(
         nodes = nodes.where(~coarse).unionByName(resolved).groupBy(*keys, "node").agg(*extremes)
         top = f"least({fine}, {top})"
 
-    probes = points.select(
-        *points.columns, F.explode(nodes_above("pos", "0", top)).alias("node")
-    )
+    probes = points.selectExpr("*", f"explode({nodes_above('pos', '0', top)}) AS node")
     return (
         probes.join(nodes, [*keys, "node"])
         .groupBy(*points.columns)

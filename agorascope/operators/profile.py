@@ -22,7 +22,7 @@ def author_totals(messages: DataFrame, extra_keys: list[str] = (), n_tags: int =
         F.sum("words").alias("words"),
         F.min(F.col("ts").cast("double")).alias("min_ts"),
         F.max(F.col("ts").cast("double")).alias("max_ts"),
-        *[F.sum(F.col("tags")[i].cast("double")).alias(f"t{i}") for i in range(n_tags)],
+        *[F.expr(f"sum(CAST(tags[{i}] AS DOUBLE)) AS t{i}") for i in range(n_tags)],
     )
 
 
@@ -45,7 +45,7 @@ def fit_totals(messages: DataFrame, folds: DataFrame | None, n_folds: int, corpu
             F.sum("words").alias("words"),
             F.min("min_ts").alias("min_ts"),
             F.max("max_ts").alias("max_ts"),
-            *[F.sum(f"t{i}").alias(f"t{i}") for i in range(n_tags)],
+            *[F.expr(f"sum(t{i}) AS t{i}") for i in range(n_tags)],
         )
     )
 
@@ -53,7 +53,7 @@ def fit_totals(messages: DataFrame, folds: DataFrame | None, n_folds: int, corpu
 def raw_profile(totals: DataFrame, n_tags: int) -> DataFrame:
     """Unscaled forum numbers per (fit, author)."""
     count = F.col("n").cast("double")
-    sums = F.array(*[F.col(f"t{i}") for i in range(n_tags)])
+    sums = F.array(*[f"t{i}" for i in range(n_tags)])
     return (
         totals.withColumn("tag_sums", sums)
         .select(
@@ -110,7 +110,7 @@ def default_profile(forum: DataFrame, n_tags: int = len(TAGS)) -> DataFrame:
     plain = [c for c in profile_columns([]) if c in forum.columns]
     return forum.groupBy("fit").agg(
         *[F.avg(c).alias(c) for c in plain],
-        F.array(*[F.avg(F.col("tags")[i]) for i in range(n_tags)]).alias("tags"),
+        F.expr(f"array({', '.join(f'avg(tags[{i}])' for i in range(n_tags))}) AS tags"),
     )
 
 
@@ -194,13 +194,9 @@ def message_profiles(
 
 def flatten(profiles: DataFrame, tags: list[str], suffix: str = "", cast: str = "double") -> DataFrame:
     """Spread the `tags` array, and name every profile column `<name><suffix>`."""
-    position = {t: i for i, t in enumerate(tags)}
     names = profile_columns(tags)
-    others = [c for c in profiles.columns if c not in names and c != "tags"]
-    return profiles.select(
-        *others,
-        *[
-            (F.col("tags")[position[c]] if c in position else F.col(c)).cast(cast).alias(c + suffix)
-            for c in names
-        ],
+    source = {t: f"tags[{i}]" for i, t in enumerate(tags)}
+    return profiles.selectExpr(
+        *[c for c in profiles.columns if c not in names and c != "tags"],
+        *[f"CAST({source.get(c, c)} AS {cast}) AS `{c}{suffix}`" for c in names],
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..settings import DEFAULT_LIMITS, Limits
 
@@ -66,44 +66,40 @@ def running(
     group add is carried over from one total per block.
     """
     following = following or {}
-    fns = {"sum": F.sum, "min": F.min, "max": F.max}
+
+    def over(group: list[str], order_by: str, frame: str = "") -> str:
+        return f"OVER (PARTITION BY {', '.join(group)} ORDER BY {order_by} {frame})"
+
+    def columns(group: list[str]) -> list[str]:
+        so_far = over(group, order, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+        return [f"{fn}({c}) {so_far} AS {name}" for name, (fn, c) in aggs.items()] + [
+            f"lead({c}) {over(group, order)} AS {name}" for name, c in following.items()
+        ]
+
     if block is None:
-        spec = Window.partitionBy(*keys).orderBy(order)
-        frame = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select(
-            "*",
-            *[fns[fn](c).over(frame).alias(name) for name, (fn, c) in aggs.items()],
-            *[F.lead(c).over(spec).alias(name) for name, c in following.items()],
-        )
+        return df.selectExpr("*", *columns(keys))
 
     df = df.withColumn("_block", block)
     group = [*keys, "_block"]
-    spec = Window.partitionBy(*group).orderBy(order)
-    frame = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = df.select(
-        "*",
-        *[fns[fn](c).over(frame).alias(name) for name, (fn, c) in aggs.items()],
-        *[F.lead(c).over(spec).alias(name) for name, c in following.items()],
-    )
+    local = df.selectExpr("*", *columns(group))
     totals = df.groupBy(*group).agg(
-        *[fns[fn](c).alias(f"_{name}") for name, (fn, c) in aggs.items()],
+        *[F.expr(f"{fn}({c})").alias(f"_{name}") for name, (fn, c) in aggs.items()],
         *[F.min(c).alias(f"_{name}") for name, c in following.items()],
     )
-    over_blocks = Window.partitionBy(*keys).orderBy("_block")
-    before = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
+    before = over(keys, "_block", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    carried = totals.selectExpr(
         *group,
-        *[fns[fn](f"_{name}").over(before).alias(f"_{name}") for name, (fn, _) in aggs.items()],
-        *[F.lead(f"_{name}").over(over_blocks).alias(f"_{name}") for name in following],
+        *[f"{fn}(_{name}) {before} AS _{name}" for name, (fn, _) in aggs.items()],
+        *[f"lead(_{name}) {over(keys, '_block')} AS _{name}" for name in following],
     )
 
-    def merged(name: str, fn: str) -> Column:
+    def merged(name: str, fn: str) -> str:
         if fn == "sum":
-            return F.col(name) + F.coalesce(F.col(f"_{name}"), F.lit(0))
-        return (F.least if fn == "min" else F.greatest)(name, f"_{name}")
+            return f"{name} + coalesce(_{name}, 0) AS {name}"
+        return f"{'least' if fn == 'min' else 'greatest'}({name}, _{name}) AS {name}"
 
-    return local.join(carried, group).select(
+    return local.join(carried, group).selectExpr(
         *[c for c in df.columns if c != "_block"],
-        *[merged(name, fn).alias(name) for name, (fn, _) in aggs.items()],
-        *[F.coalesce(F.col(name), F.col(f"_{name}")).alias(name) for name in following],
+        *[merged(name, fn) for name, (fn, _) in aggs.items()],
+        *[f"coalesce({name}, _{name}) AS {name}" for name in following],
     )

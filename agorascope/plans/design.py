@@ -244,10 +244,10 @@ def behaviour_names(tags: list[str]) -> list[str]:
 
 def spread(df: DataFrame, array: str, names: list[str], digits: int = 6) -> DataFrame:
     """An array column as named, rounded double columns."""
-    return df.select(
+    return df.selectExpr(
         *[c for c in df.columns if c != array],
         *[
-            (F.round(F.col(array)[i].cast("double"), digits) + F.lit(0.0)).alias(n)
+            f"round(CAST({array}[{i}] AS DOUBLE), {digits}) + 0.0D AS `{n}`"
             for i, n in enumerate(names)
         ],
     )

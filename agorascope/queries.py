@@ -41,7 +41,8 @@ def _r(c):
 
 
 def _rounded(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select(*[_r(c).alias(c) if c in names else F.col(c) for c in df.columns])
+    shown = {c: f"round(CAST(`{c}` AS DOUBLE), {DIGITS}) + 0.0D AS `{c}`" for c in names}
+    return df.selectExpr(*[shown.get(c, f"`{c}`") for c in df.columns])
 
 
 def _corpus(spark: SparkSession, sf: str) -> Corpus:
@@ -247,7 +248,7 @@ def minmax_columns(spark, sf):
 
 def minmax_tags_sequential(spark, sf):
     scaled = _raw(spark, sf).select("author", scale_row(F.col("tag_sums"), len(TAGS)).alias("s"))
-    return scaled.select("author", *[_r(F.col("s")[i]).alias(t) for i, t in enumerate(TAGS)])
+    return spread(scaled, "s", TAGS)
 
 
 def forum_profile_query(spark, sf):
@@ -265,7 +266,7 @@ def tag_history_fallback(spark, sf):
     c = _corpus(spark, sf)
     forum = forum_profile(c)
     old, new = with_tags(message_contexts(c, ["tree"]), forum, c, [ALL])
-    return old.unionByName(new.drop("fit")).select("message_id", *[_r(F.col("tag_sums")[i]).alias(t) for i, t in enumerate(TAGS)])
+    return spread(old.unionByName(new.drop("fit")).select("message_id", "tag_sums"), "tag_sums", TAGS)
 
 
 def _profile(spark, sf, level):
