@@ -35,12 +35,9 @@ class FeatureStore:
 
     def _exists(self, path: str) -> bool:
         # a finished write leaves a _SUCCESS file; an interrupted one counts as absent
-        try:
-            return not self.spark.read.format("binaryFile").load(f"{path}/_SUCCESS").isEmpty()
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return False
-            raise
+        sc = self.spark.sparkContext
+        done = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return done.getFileSystem(sc._jsc.hadoopConfiguration()).exists(done)
 
     def get_or_compute(self, keys: dict, compute: Callable[[], DataFrame]) -> DataFrame:
         """Read the table of `keys`, after computing and writing it if it is not there."""
