@@ -202,7 +202,12 @@ CTES: list[tuple[str, str]] = [
       UNION ALL SELECT 'Weighted F1-' || category, weighted_mean FROM cat_f1"""),
 ]
 
-WITH = "WITH RECURSIVE " + ",\n".join(f"{name} AS ({sql})" for name, sql in CTES)
+# read by every step of a recursion, so computed once
+ONCE = {"msgs", "dealt"}
+
+WITH = "WITH RECURSIVE " + ",\n".join(
+    f"{name} AS {'MATERIALIZED ' if name in ONCE else ''}({sql})" for name, sql in CTES
+)
 
 
 def sql(body: str) -> str:
