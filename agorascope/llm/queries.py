@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorascope.llm import dac, packing, separators, tokens
+from agorascope.llm import dac, line_frequency, packing, separators, tokens
 from agorascope.llm.store import table, written
 
 
+def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokens.word_vocabulary())
     return pieces.select(
@@ -32,10 +36,58 @@ def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_line_frequency,
         op4_retrieval_packing,
         op5_addressable_codes,
         op7_separator_scan,
     )
 }
 
-ORACLES: dict[str, str] = {}
+# words, whole texts and line figures of every document in SQL
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+ORACLES: dict[str, str] = {
+    "op2_line_frequency": rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT doc_id, host, text, regexp_extract_all(text, '{_WORDS}') AS words FROM d
+), line AS (
+  SELECT doc_id, host, text, u.i, u.line,
+    regexp_replace(trim(translate(translate(u.line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      chr(9) || chr(11) || chr(12) || chr(13), '    ')), ' +', ' ', 'g') AS normal,
+    len(regexp_extract_all(u.line, '{_WORDS}')) AS n
+  FROM d, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line,
+                          generate_subscripts(string_split(text, chr(10)), 1) AS i) u
+), worded AS (SELECT * FROM line WHERE n > 0),
+freq AS (
+  SELECT host, normal FROM worded JOIN (SELECT host, count(DISTINCT text) AS host_n FROM d GROUP BY host) USING (host)
+  GROUP BY host, normal, host_n
+  HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) * 100 > host_n * 10
+), removed AS (
+  SELECT doc_id, sum(n) AS n_removed_words FROM worded SEMI JOIN freq USING (host, normal) GROUP BY doc_id
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id
+), win AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM win) WHERE c > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id
+), base AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    coalesce(n_removed_words, 0)::BIGINT AS n_removed_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN removed USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_removed_words) >= 50 * n_words AS kept,
+  n_removed_words
+FROM base""",
+}
