@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorascope.llm import dac, line_frequency, packing, separators, tokens
+from agorascope.llm import dac, line_frequency, packing, secrets, separators, tokens
 from agorascope.llm.store import table, written
 
 
@@ -25,6 +25,10 @@ def op5_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_images(images).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_decoding_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.secrets(table(spark, sf_dir, "documents")))
+
+
 def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = written(separators.write_flat(table(spark, sf_dir, "documents"), tokens.byte_vocabulary()), "flat")
     found = separators.scan_flat(flat)
@@ -39,6 +43,7 @@ QUERIES = {
         op2_line_frequency,
         op4_retrieval_packing,
         op5_addressable_codes,
+        op6_decoding_worklist,
         op7_separator_scan,
     )
 }
