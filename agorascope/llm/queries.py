@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorascope.llm import dac, line_frequency, packing, secrets, separators, tokens
+from agorascope.llm import dac, line_frequency, minhash, packing, secrets, separators, tokens
 from agorascope.llm.store import table, written
 
 
+def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.verdicts(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_lsh_forest,
         op2_line_frequency,
         op4_retrieval_packing,
         op5_addressable_codes,
