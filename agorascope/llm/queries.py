@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorascope.llm import dac, line_frequency, minhash, packing, secrets, separators, tokens
+from agorascope.llm import dac, decontaminate, line_frequency, minhash, packing, secrets, separators, tokens
 from agorascope.llm.store import table, written
 
 
@@ -41,6 +41,10 @@ def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_edit_distance_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -50,6 +54,7 @@ QUERIES = {
         op5_addressable_codes,
         op6_decoding_worklist,
         op7_separator_scan,
+        op9_edit_distance_lsh,
     )
 }
 
