@@ -4,7 +4,7 @@ The CGK embedding reads a window with a pointer that moves on or stays by a rand
 word read; the words read in 2L steps are the embedding, and windows at a small edit distance have
 embeddings at a small Hamming distance. Bit-sampling LSH on it: a key is made of the words at BITS
 random steps; SAMPLES keys from each of WALKS walks make it likely that one key of two near windows
-agrees. Windows are sized by the items: items of [c, 2c) words share windows of L = c - s + 1 words.
+agrees. Windows are sized by the items: items of [c, 2c) words share windows of L = 5c/8 words (short items: c - s + 1).
 Documents are cut into windows only every s words, as the items are cut at every word, so one
 alignment always falls on a document window; s is a quarter of c.
 
@@ -28,7 +28,7 @@ from agorascope.llm import arrowwords
 from agorascope.llm.minhash import slices
 
 EDITS_PERCENT = 10  # edited words, of the item's words, rounded down
-WALKS, SAMPLES, BITS = 4, 10, 5
+WALKS, SAMPLES, BITS = 2, 10, 5
 ITEMS = 4096  # items per block; an index has about 1 KB per word of them
 
 _KEY = np.uint64(0x9FB21C651E98DF25)
@@ -50,7 +50,7 @@ class Family:
 
 def _family(low: int) -> Family:
     stride = max(1, low // 4)
-    length = low - stride + 1
+    length = low - stride + 1 if low < 8 else low * 5 // 8
     random = np.random.default_rng(low)
     steps = random.integers(0, 2 * length, (WALKS, SAMPLES, BITS))
     steps.sort(axis=2)
