@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorascope.llm import dac, decontaminate, line_frequency, minhash, packing, secrets, separators, tokens
+from agorascope.llm import dac, decontaminate, line_frequency, line_join, minhash, packing, secrets, separators, tokens
 from agorascope.llm.store import table, written
 
 
@@ -17,6 +17,11 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_join.summary(docs, line_join.removed_lines(docs))
+
+
 def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokens.word_vocabulary())
     return pieces.select(
@@ -50,6 +55,7 @@ QUERIES = {
     for f in (
         op1_lsh_forest,
         op2_line_frequency,
+        op3_line_similarity_join,
         op4_retrieval_packing,
         op5_addressable_codes,
         op6_decoding_worklist,
