@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorascope.llm import dac, decontaminate, line_frequency, line_join, minhash, packing, secrets, separators, tokens
+from agorascope.llm import dac, decontaminate, line_frequency, line_join, minhash, packing, secrets, separators, tokens, wrappers
 from agorascope.llm.store import table, written
 
 
@@ -46,6 +46,11 @@ def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = wrappers.extract(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_edit_distance_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +65,7 @@ QUERIES = {
         op5_addressable_codes,
         op6_decoding_worklist,
         op7_separator_scan,
+        op8_wrapper_induction,
         op9_edit_distance_lsh,
     )
 }
