@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorascope.llm import dac, decontaminate, line_frequency, line_join, minhash, packing, secrets, separators, tokens, wrappers
+from agorascope.llm import dac, decontaminate, line_frequency, line_join, minhash, packing, secrets, separators, substrings, tokens, wrappers
 from agorascope.llm.store import table, written
 
 
@@ -55,6 +55,11 @@ def op9_edit_distance_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +72,7 @@ QUERIES = {
         op7_separator_scan,
         op8_wrapper_induction,
         op9_edit_distance_lsh,
+        op10_fm_index,
     )
 }
 
