@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from agorascope.llm import arrowwords
 from agorascope.llm.components import components
-from agorascope.llm.store import written
+from agorascope.llm.store import small, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -334,3 +334,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that near_duplicates does not keep; same columns, whatever their names."""
+    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    gone = small(written(gone, "near-duplicates"))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")

@@ -21,6 +21,14 @@ def written(df: DataFrame, name: str, codec: str = CODEC) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 2_000_000  # rows of a few numbers each up to which a table is broadcast
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows: to be broadcast if it has few, else for a join by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
