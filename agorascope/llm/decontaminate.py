@@ -223,16 +223,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits_percent: int = EDI
 
 def clean(docs: DataFrame, benchmark: DataFrame, edits_percent: int = EDITS_PERCENT) -> DataFrame:
     """``docs`` without the rows in whose text an item is found; same columns, whatever their names."""
-    spark = docs.sparkSession
+    spark, names = docs.sparkSession, docs.columns
+    # Arrow functions resolve columns by name; plain ones cannot be misread
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{[n.lower() for n in names].index('text')}"
     for index, _ in index_blocks(benchmark):
         shared = spark.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 good = np.ones(batch.num_rows, bool)
-                for row, column in slices(batch.column("text")):
+                for row, column in slices(batch.column(text)):
                     good[[row + f[0] for f in matches(shared.value, column, edits_percent)]] = False
                 yield batch.filter(pa.array(good))
 
         docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    return docs.toDF(*names)
