@@ -298,6 +298,7 @@ def verified_edges(docs: DataFrame, clusters: DataFrame, block: int = BLOCK) ->
         F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("part"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
+    parts = small(written(parts, "cluster-parts"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     return (
         texts.join(parts, "node")
