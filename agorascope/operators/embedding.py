@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..schema import N_FOLDS
-from .context import author_events
+from ..settings import stage
+from .context import AUTHOR, author_events
 from .corpus import Corpus
 from .folds import in_folds
+from .forest import doubled
+from .intervals import covering_extremes
 from .profile import ALL
 from .skew import lookup_join
 
@@ -19,7 +22,8 @@ def width(embeddings: DataFrame) -> int:
 
 
 def _components(d: int) -> list[str]:
-    return [f"CAST(embedding[{i}] AS DOUBLE) AS e{i}" for i in range(d)]
+    """The components as columns; NaN counts as missing, as NULL does."""
+    return [f"nanvl(CAST(embedding[{i}] AS DOUBLE), NULL) AS e{i}" for i in range(d)]
 
 
 def author_means(
@@ -32,22 +36,22 @@ def author_means(
     """
     names = [f"e{i}" for i in range(d)]
     sums = [F.expr(f"sum({c}) AS {c}") for c in names]
-    count = F.count(F.lit(1)).alias("n")
+    counts = [F.expr(f"count({c}) AS n_{c}") for c in names]
     columns = ["message_id", "tree_id", "author"]
     placed = corpus.columns(*columns) if folds is None else in_folds(corpus, folds, columns)
     values = placed.where(F.col("author").isNotNull()).join(
         embeddings.selectExpr("message_id", *_components(d)), "message_id"
     )
     if folds is None:
-        totals = values.groupBy("author").agg(count, *sums).withColumn("fit", F.lit(ALL))
+        totals = values.groupBy("author").agg(*counts, *sums).withColumn("fit", F.lit(ALL))
     else:
         totals = (
-            values.groupBy("author", "fold").agg(count, *sums)
+            values.groupBy("author", "fold").agg(*counts, *sums)
             .withColumn("fit", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
             .where(F.col("fit") != F.col("fold"))
-            .groupBy("fit", "author").agg(F.sum("n").alias("n"), *sums)
+            .groupBy("fit", "author").agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in names], *sums)
         )
-    means = ", ".join(f"{c} / n" for c in names)
+    means = ", ".join(f"{c} / nullif(n_{c}, 0)" for c in names)
     return totals.selectExpr("fit", "author", f"array({means}) AS mean")
 
 
@@ -59,17 +63,54 @@ def default_mean(means: DataFrame, d: int) -> DataFrame:
 
 
 def context_means(corpus: Corpus, embeddings: DataFrame, d: int, level: str) -> DataFrame:
-    """(message_id, mean): the author's messages in the context, this one included."""
+    """(message_id, mean): the author's messages in the context, this one included.
+
+    Missing components are left out of their mean; a component that is always missing is NULL.
+    """
+    if level == "branch":
+        return _branch_means(corpus, embeddings, d)
     names = [f"e{i}" for i in range(d)]
-    values = (
-        corpus.columns("message_id", "author").withColumn("one", F.lit(1).cast("long"))
-        .join(embeddings.selectExpr("message_id", *_components(d)), "message_id")
+    # nothing leaves a thread's context again, so running sums only add
+    values = corpus.columns("message_id", "author").join(
+        embeddings.selectExpr("message_id", *_components(d)), "message_id"
+    ).selectExpr(
+        "message_id", "author",
+        *[f"coalesce({c}, 0D) AS {c}" for c in names],
+        *[f"CAST({c} IS NOT NULL AS BIGINT) AS n_{c}" for c in names],
     )
-    events = author_events(corpus, level, values, ["one", *names])
-    means = ", ".join(f"sum_{c} / sum_one" for c in names)
+    events = author_events(corpus, level, values, [*names, *[f"n_{c}" for c in names]])
+    means = ", ".join(f"sum_{c} / nullif(sum_n_{c}, 0)" for c in names)
     return events.where("kind = 1").selectExpr("message_id", f"array({means}) AS mean")
 
 
+def _branch_means(corpus: Corpus, embeddings: DataFrame, d: int) -> DataFrame:
+    """A message's ancestors by the same author form a chain: each points to the nearest one above
+    it. Sums over the chain come from doubling these pointers, so a sibling branch never enters a
+    sum, and a value that is not finite stays with those that see it."""
+    visits = stage(
+        corpus.branch_visits.join(corpus.columns("message_id", "author"), "message_id")
+        .where(F.col("author").isNotNull())
+        .select("message_id", *AUTHOR, "lo", "hi", "size")
+    )
+    seen = visits.where("hi > lo + 1").select(
+        *AUTHOR, (F.col("lo") + 1).alias("lo"), "hi", F.col("lo").alias("at")
+    )
+    points = visits.select(*AUTHOR, "message_id", F.col("lo").alias("pos"), "size")
+    # of the same author's open subtrees the one that began last is the nearest ancestor's
+    nearest = covering_extremes(seen, points, AUTHOR, ["at"], corpus.widest, corpus.limits)
+    above = visits.select("tree_id", F.col("lo").alias("hi_at"), F.col("message_id").alias("up"))
+    links = nearest.select("message_id", "tree_id", "hi_at").join(above, ["tree_id", "hi_at"]).select("message_id", "up")
+    values = embeddings.selectExpr("message_id", *_components(d)).selectExpr(
+        "message_id",
+        f"array({', '.join(f'coalesce(e{i}, 0D)' for i in range(d))}) AS total",
+        f"array({', '.join(f'CAST(e{i} IS NOT NULL AS BIGINT)' for i in range(d))}) AS n",
+    )
+    start = visits.select("message_id").join(links, "message_id", "left").join(values, "message_id")
+    summed = doubled(start.select("message_id", "up", "total", "n"), ["total", "n"], corpus.rows, corpus.limits)
+    mean = F.zip_with("total", "n", lambda x, k: F.when(k > 0, x / k))
+    return summed.select("message_id", mean.alias("mean"))
+
+
 def forum_means(corpus: Corpus, means: DataFrame, messages: DataFrame, repeats: int = 1) -> DataFrame:
     """Author mean on each row of `messages` (fit, author, ...); NULL for unknown authors."""
     return lookup_join(

@@ -27,6 +27,18 @@ def parent_links(messages: DataFrame, rows: int, limits: Limits = DEFAULT_LIMITS
     ).unionByName(roots.select("message_id", "tree_id", F.lit(None).cast("long").alias("up")))
 
 
+def doubled(state: DataFrame, add: list[str], rows: int, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """`state` (message_id, up, arrays `add`) with the arrays added up, element by element, over the
+    message and all it reaches by following `up`. Only additions, of what is really reached."""
+
+    def step(state: DataFrame) -> DataFrame:
+        both = [F.zip_with(c, f"_{c}", lambda x, y: x + y).alias(c) for c in add]
+        moved = _double(state, add, rows, limits).select("message_id", F.col("_up").alias("up"), *both)
+        return moved.unionByName(state.where(F.col("up").isNull()).select("message_id", "up", *add))
+
+    return _run(cut(state), step, rows)
+
+
 def _double(state: DataFrame, add: list[str], rows: int, limits: Limits) -> DataFrame:
     """Rows that still point somewhere, moved to where their target points."""
     target = state.select(

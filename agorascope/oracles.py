@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
 from .plans.design import behaviour_names
-from .plans.experiment import grid
 from .schema import ANNOTATED_TAGS, N_FOLDS, TAG_CATEGORY, TAGS, profile_columns
 
 N = len(TAGS)
@@ -135,16 +136,17 @@ CATEGORIES = commas(f"({i}, '{t}', '{TAG_CATEGORY[t]}')" for i, t in enumerate(T
 
 CTES: list[tuple[str, str]] = [
     ("docs", f"SELECT doc_id, text, len({WORDS})::BIGINT AS words FROM documents"),
-    ("flagged", f"""SELECT *, event_id % 50 AS pos, event_id // 50 AS tree_id, {FLAGS} AS flags FROM events"""),
+    ("cuts", """SELECT *, event_id % 50 AS place, 10 + ((event_id // 50) * 7) % 41 AS first_size FROM events"""),
+    ("flagged", f"""SELECT *, CASE WHEN place < first_size THEN place ELSE place - first_size END AS pos,
+        2 * (event_id // 50) + CASE WHEN place < first_size THEN 0 ELSE 1 END AS tree_id, {FLAGS} AS flags FROM cuts"""),
     ("msgs", """SELECT event_id AS message_id, event_id::VARCHAR AS node_id, tree_id,
         CASE WHEN pos = 0 THEN -1 ELSE event_id - pos + (pos - 1) // 2 END::BIGINT AS parent,
         'u' || (user_id % 20)::VARCHAR || CASE WHEN event_id % 7 = 0 THEN '_t' || tree_id::VARCHAR ELSE '' END AS author,
         epoch_us(ts)::DOUBLE / 1000000::DOUBLE AS ts, d.text, d.words,
         list_append(flags, CASE WHEN list_max(flags) = 0 THEN 1 ELSE 0 END)::INTEGER[] AS tags
-      FROM flagged JOIN docs d ON d.doc_id = event_id % (SELECT count(*) FROM documents)
-      WHERE pos < 10 + (tree_id * 7) % 41"""),
-    ("convs", """SELECT conv_id * 1000000 + turn AS message_id, conv_id AS tree_id,
-        CASE WHEN turn = 0 THEN -1 ELSE conv_id * 1000000 + turn - 1 END AS parent FROM conversations"""),
+      FROM flagged JOIN docs d ON d.doc_id = event_id % (SELECT count(*) FROM documents)"""),
+    ("convs", """SELECT conv_id * 4294967296 + turn AS message_id, conv_id AS tree_id,
+        CASE WHEN turn = 0 THEN -1 ELSE conv_id * 4294967296 + turn - 1 END AS parent FROM conversations"""),
     ("closure", """SELECT message_id AS anchor, message_id AS member, parent AS up, 0::BIGINT AS steps FROM msgs
       UNION ALL SELECT c.anchor, m.message_id, m.parent, c.steps + 1 FROM closure c JOIN msgs m ON m.message_id = c.up"""),
     ("conv_closure", """SELECT message_id AS anchor, message_id AS member, parent AS up, 0::BIGINT AS steps FROM convs
@@ -205,13 +207,20 @@ CTES: list[tuple[str, str]] = [
 # read by every step of a recursion, so computed once
 ONCE = {"msgs", "dealt"}
 
-WITH = "WITH RECURSIVE " + ",\n".join(
-    f"{name} AS {'MATERIALIZED ' if name in ONCE else ''}({sql})" for name, sql in CTES
-)
-
-
-def sql(body: str) -> str:
-    return f"{WITH}\n{body}"
+def sql(body: str, more: list[tuple[str, str]] | None = None) -> str:
+    """The query after the tables it needs, directly or through others, and no others."""
+    tables = dict(CTES) | dict(more or [])
+    order, wanted = list(tables), set()
+    work = [body]
+    while work:
+        words = set(re.findall(r"\w+", work.pop()))
+        found = (words & tables.keys()) - wanted
+        wanted |= found
+        work += [tables[name] for name in found]
+    listed = ",\n".join(
+        f"{name} AS {'MATERIALIZED ' if name in ONCE else ''}({tables[name]})" for name in order if name in wanted
+    )
+    return f"WITH RECURSIVE {listed}\n{body}" if listed else body
 
 
 def vector(x: str, names: list[str]) -> str:
@@ -230,17 +239,19 @@ FIT_MEANS = f"""SELECT x.fit, v.author, {MEAN} FROM rows_ x JOIN vectors v USING
   WHERE x.split = 'train' AND v.author IS NOT NULL GROUP BY x.fit, v.author"""
 FIT_DEFAULT = f"SELECT fit, {commas(f'avg({e}) AS {e}' for e in ES)} FROM fit_means GROUP BY fit"
 
-EMBEDDING_CTES = f"""{WITH},
-  fit_means AS ({FIT_MEANS}), fit_mean_default AS ({FIT_DEFAULT}),
-  tree_means AS ({TREE_MEANS}), branch_means AS ({BRANCH_MEANS}),
-  x AS (SELECT w.fit, w.split, w.message_id, w.parent,
+EMBEDDING_CTES = [
+    ("fit_means", FIT_MEANS),
+    ("fit_mean_default", FIT_DEFAULT),
+    ("tree_means", TREE_MEANS),
+    ("branch_means", BRANCH_MEANS),
+    ("x", f"""SELECT w.fit, w.split, w.message_id, w.parent,
     {commas(f'coalesce(m.{e}, d.{e})::FLOAT::DOUBLE AS forum_{e}' for e in ES)},
     {commas(f't.{e}::FLOAT::DOUBLE AS tree_{e}' for e in ES)},
     {commas(f'b.{e}::FLOAT::DOUBLE AS branch_{e}' for e in ES)}
     FROM rows_ w LEFT JOIN fit_means m ON m.fit = w.fit AND m.author = w.author
     JOIN fit_mean_default d ON d.fit = w.fit
-    JOIN tree_means t ON t.message_id = w.message_id JOIN branch_means b ON b.message_id = w.message_id)
-"""
+    JOIN tree_means t ON t.message_id = w.message_id JOIN branch_means b ON b.message_id = w.message_id"""),
+]
 XS = [f"{level}_{e}" for level in ("forum", "tree", "branch") for e in ES]
 
 BEHAVIOUR = f"""FROM rows_ w LEFT JOIN fit_forum f ON f.fit = w.fit AND f.author = w.author
@@ -271,7 +282,7 @@ def context_query(pairs: str, name: str) -> str:
 
 def leaf_query(rows: str) -> str:
     return f"""SELECT message_id, tree_id, parent FROM {rows} m
-      WHERE NOT EXISTS (SELECT 1 FROM {rows} c WHERE c.parent = m.message_id)"""
+      ANTI JOIN (SELECT DISTINCT parent AS message_id FROM {rows}) c USING (message_id)"""
 
 
 def path_query(rows: str, closure: str) -> str:
@@ -282,7 +293,11 @@ def path_query(rows: str, closure: str) -> str:
 FORUM_RAW = f"""SELECT author, {commas(r(minmax(c, f'min({c}) OVER ()', f'max({c}) OVER ()'), c) for c in SCALED)}
   FROM forum_b"""
 
-GRID = commas("(" + commas(f"'{v}'" for v in row) + ")" for row in grid(["stored", "hashed"]))
+# every method with every pair of encoders; two methods do not look at the user's, and get the first
+GRID = """SELECT DISTINCT method || '_' || c || CASE WHEN alone THEN '' ELSE '_' || u END AS config, method,
+    c AS current, CASE WHEN alone THEN 'stored' ELSE u END AS "user"
+  FROM (VALUES ('one_hot_vector', true), ('behaviour', true), ('embedding', false), ('combined', false)) AS m(method, alone)
+  CROSS JOIN (VALUES ('stored'), ('hashed')) AS a(c) CROSS JOIN (VALUES ('stored'), ('hashed')) AS b(u)"""
 
 ORACLES = {
     "scan_messages": sql("SELECT message_id, node_id, tree_id, parent, author, ts, md5(text) AS text_md5 FROM msgs"),
@@ -346,13 +361,13 @@ ORACLES = {
         LEFT JOIN fit_forum f ON f.fit = w.fit AND f.author = w.author JOIN fit_forum_default d ON d.fit = w.fit
         WHERE w.split = 'test'"""),
     "design_behaviour": sql(f"SELECT w.fit, w.split, w.message_id, {BEHAVIOUR_COLUMNS} {BEHAVIOUR}"),
-    "design_embedding": EMBEDDING_CTES + f"SELECT fit, split, message_id, {commas(r(c, c) for c in XS)} FROM x",
-    "design_combined": EMBEDDING_CTES + f"""SELECT w.fit, w.split, w.message_id, {BEHAVIOUR_COLUMNS},
+    "design_embedding": sql(f"SELECT fit, split, message_id, {commas(r(c, c) for c in XS)} FROM x", EMBEDDING_CTES),
+    "design_combined": sql(f"""SELECT w.fit, w.split, w.message_id, {BEHAVIOUR_COLUMNS},
         {commas(r(f'x.{c}', c) for c in XS)} {BEHAVIOUR}
-        JOIN x ON x.fit = w.fit AND x.message_id = w.message_id""",
-    "default_vector": EMBEDDING_CTES + f"""SELECT d.fit, {commas(flat('d.', f'_{level}', True) for level in ('forum', 'tree', 'branch'))},
+        JOIN x ON x.fit = w.fit AND x.message_id = w.message_id""", EMBEDDING_CTES),
+    "default_vector": sql(f"""SELECT d.fit, {commas(flat('d.', f'_{level}', True) for level in ('forum', 'tree', 'branch'))},
         {commas(f32(f'm.{e}', f'{level}_{e}') for level in ('forum', 'tree', 'branch') for e in ES)}
-        FROM fit_forum_default d JOIN fit_mean_default m USING (fit)""",
+        FROM fit_forum_default d JOIN fit_mean_default m USING (fit)""", EMBEDDING_CTES),
     "last_user": sql(LAST_USER),
     "last_user_features": sql(f"""SELECT l.fit, l.split, l.message_id,
         {commas(f'CASE WHEN l.last_user = -1 THEN y.{q(n)} ELSE x.{q(n)} END AS {q(n)}' for n in behaviour_names(TAGS))}
@@ -360,13 +375,13 @@ ORACLES = {
         LEFT JOIN (SELECT w.fit, w.message_id, {BEHAVIOUR_COLUMNS} {BEHAVIOUR}) x ON x.fit = l.fit AND x.message_id = l.last_user
         JOIN (SELECT d.fit, {commas(flat('d.', f'_{level}', True) for level in ('forum', 'tree', 'branch'))} FROM fit_forum_default d) y
           ON y.fit = l.fit"""),
-    "model_inputs": EMBEDDING_CTES + f"""SELECT x.fit, x.split, x.message_id,
+    "model_inputs": sql(f"""SELECT x.fit, x.split, x.message_id,
         {commas(f32(f'v.embedding[{i + 1}]', f'now_e{i}') for i in range(D))},
         {commas(r(f'x.{c}', c) for c in XS)},
         {commas(r(f'CASE WHEN l.last_user = -1 THEN d.{c.split("_")[1]}::FLOAT::DOUBLE ELSE p.{c} END', f'last_{c}') for c in XS)}
         FROM x JOIN ({LAST_USER}) l ON l.fit = x.fit AND l.message_id = x.message_id
         LEFT JOIN x p ON p.fit = l.fit AND p.message_id = l.last_user
-        JOIN fit_mean_default d ON d.fit = x.fit JOIN vectors v ON v.message_id = x.message_id""",
+        JOIN fit_mean_default d ON d.fit = x.fit JOIN vectors v ON v.message_id = x.message_id""", EMBEDDING_CTES),
     "author_one_hot": sql("""SELECT message_id, author_idx FROM msgs JOIN (SELECT author,
         row_number() OVER (ORDER BY author) - 1 AS author_idx FROM (SELECT DISTINCT author FROM msgs WHERE author IS NOT NULL)) USING (author)"""),
     "feature_store_roundtrip": sql(f"SELECT fit AS fold, author, {flat()} FROM fit_forum"),
@@ -383,6 +398,7 @@ ORACLES = {
     "binary_accuracy": sql(f"SELECT fold, {r('avg(((p > 0.5)::INTEGER = y)::INTEGER)', 'binary_accuracy')} FROM long GROUP BY fold"),
     "results_json": sql(f"SELECT 'scores' AS config, 'BCE' AS loss, metric, {r('value', 'value')} FROM results"),
     "metric_report": sql("SELECT metric, printf('%s: %.4f', metric, value) AS line FROM results"),
-    "experiment_grid": sql(f"""SELECT g.*, s.fit, s.split, s.messages FROM (VALUES {GRID}) AS g(config, method, current, "user")
+    "results_nested": sql("""SELECT 'scores' AS config, 'BCE' AS loss, metric, round(value, 6) + 0.0 AS value FROM results"""),
+    "experiment_grid": sql(f"""SELECT g.*, s.fit, s.split, s.messages FROM ({GRID}) g
         CROSS JOIN (SELECT fit, split, count(*) AS messages FROM rows_ GROUP BY fit, split) s"""),
 }

@@ -472,6 +472,14 @@ def results_json(spark, sf):
     return _rounded(back, ["value"])
 
 
+def results_nested(spark, sf):
+    """The nested form of the results, read back as objects."""
+    nested = nested_results(_results(spark, sf))
+    read = F.from_json("json", "map<string, map<string, double>>")
+    per_loss = nested.select("config", F.explode(read).alias("loss", "metrics"))
+    return _rounded(per_loss.select("config", "loss", F.explode("metrics").alias("metric", "value")), ["value"])
+
+
 def metric_report(spark, sf):
     return metrics.report_lines(_results(spark, sf)).select("metric", "line")
 
@@ -555,6 +563,7 @@ QUERIES = {
     "argmax_accuracy": argmax_accuracy,
     "binary_accuracy": binary_accuracy,
     "results_json": results_json,
+    "results_nested": results_nested,
     "metric_report": metric_report,
     "experiment_grid": experiment_grid,
     "tag_scores": tag_scores,

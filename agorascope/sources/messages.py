@@ -46,13 +46,18 @@ def pack(messages: DataFrame, tags: list[str] = ANNOTATED_TAGS) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pos = F.col("event_id") % 50
-    tree = F.floor(F.col("event_id") / 50).cast("long")
+    """All events, every 50 ids cut into two threads of varying sizes."""
+    stretch, at = F.floor(F.col("event_id") / 50).cast("long"), F.col("event_id") % 50
+    cut = 10 + (stretch * 7) % 41
     return (
         spark.read.parquet(f"{sf_dir}/events.parquet")
         .select("event_id", "ts", "user_id")
-        .withColumns({"pos": pos, "tree_id": tree})
-        .where(F.col("pos") < 10 + (F.col("tree_id") * 7) % 41)
+        .withColumns(
+            {
+                "pos": F.when(at >= cut, at - cut).otherwise(at),
+                "tree_id": stretch * 2 + F.when(at >= cut, 1).otherwise(0),
+            }
+        )
     )
 
 
@@ -115,8 +120,11 @@ def benchmark_embeddings(spark: SparkSession, sf_dir: str, messages: DataFrame)
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as reply chains: thread = conversation, parent = previous turn."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    wide = 1_000_000  # more than any conversation has turns
-    this = F.col("conv_id") * wide + F.col("turn")
+    wide = 1 << 32
+    place = F.when(F.col("turn").between(0, wide - 1), F.col("turn")).otherwise(
+        F.raise_error(F.concat(F.lit("no message id for turn "), F.col("turn").cast("string"))).cast("long")
+    )
+    this = F.col("conv_id") * F.lit(wide) + place
     return turns.select(
         this.alias("message_id"),
         F.col("conv_id").alias("tree_id"),

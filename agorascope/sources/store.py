@@ -34,21 +34,34 @@ class FeatureStore:
         return "/".join([self.path, *[f"{k}={keys[k]}" for k in KEYS]])
 
     def _exists(self, path: str) -> bool:
-        # a finished write leaves a _SUCCESS file; an interrupted one counts as absent
+        # Spark's own API has no test for a path; this is the only private access
         sc = self.spark.sparkContext
-        done = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return done.getFileSystem(sc._jsc.hadoopConfiguration()).exists(done)
+        file = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return file.getFileSystem(sc._jsc.hadoopConfiguration()).exists(file)
+
+    def _mark(self, keys: dict) -> str:
+        return "/".join([self.path + "-done", *[f"{k}={keys[k]}" for k in KEYS]])
+
+    def _finish(self, keys: DataFrame) -> None:
+        """Mark the tables of these keys as complete, after they were written: the one rule for
+        all ways of writing. An interrupted write leaves no mark and counts as absent."""
+        keys.select(*KEYS, F.lit(True).alias("done")).distinct().write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(*KEYS).parquet(self.path + "-done")
 
     def get_or_compute(self, keys: dict, compute: Callable[[], DataFrame]) -> DataFrame:
         """Read the table of `keys`, after computing and writing it if it is not there."""
         folder = self._folder(keys)
-        if not self._exists(folder):
+        if not self._exists(self._mark(keys)):
             compute().write.mode("overwrite").parquet(folder)
+            self._finish(self.spark.createDataFrame([tuple(str(keys[k]) for k in KEYS)], KEYS))
         return self.spark.read.parquet(folder)
 
     def write(self, features: DataFrame) -> None:
-        """Write a table that carries the key columns, one folder per key."""
-        features.write.mode("overwrite").partitionBy(*KEYS).parquet(self.path)
+        """Write a table that carries the key columns, one folder per key; tables of other keys
+        stay."""
+        features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(self.path)
+        self._finish(features)
 
     def read(self, **keys) -> DataFrame:
         """Read the tables of the given keys; other folders are not listed into the scan."""
@@ -69,5 +82,5 @@ def nested_results(table: DataFrame) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("m")
     )
     return per_loss.groupBy("config").agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("loss", F.to_json("m").alias("m")))))).alias("json")
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("loss", "m")))).alias("json")
     )

@@ -146,7 +146,27 @@ def test_results_sink(spark, tmp_path):
     )
     write_results(table, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).count() == table.count()
-    assert "Macro F1-score" in nested_results(table).first()["json"]
+    import json
+
+    want = {r.metric: r.value for r in table.collect()}
+    assert json.loads(nested_results(table).first()["json"]) == {table.first().loss: want}
+
+
+def test_store_keeps_other_tables(spark, tmp_path):
+    store = FeatureStore(spark, str(tmp_path), "x")
+    rows = spark.range(3).withColumns({k: F.lit("a") for k in ("method", "fold", "level", "split")})
+    store.write(rows)
+    store.write(rows.withColumn("method", F.lit("b")))
+    assert store.read(method="a").count() == store.read(method="b").count() == 3
+    keys = {"method": "b", "fold": "a", "level": "a", "split": "a"}
+
+    def never():
+        raise AssertionError("computed again")
+
+    assert store.get_or_compute(keys, never).count() == 3
+    keys["fold"] = "c"
+    assert store.get_or_compute(keys, lambda: spark.range(2)).count() == 2
+    assert store.get_or_compute(keys, never).count() == 2
 
 
 def test_grid():
