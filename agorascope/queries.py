@@ -25,7 +25,7 @@ from .operators.skew import running
 from .plans import experiment, metrics
 from .plans.design import Design, behaviour_names, spread
 from .schema import ANNOTATED_TAGS, CSV_SCHEMA, N_FOLDS, SCALED, TAGS, profile_columns
-from .settings import ensure_checkpoint_dir
+from .settings import ensure_checkpoint_dir, stage
 from .sources.messages import (
     benchmark_embeddings, benchmark_messages, conversation_messages, read_annotated_csv,
 )
@@ -497,8 +497,12 @@ def tag_scores(spark, sf):
 
 
 def cv_results(spark, sf):
-    d = _design(spark, sf, True)
-    return experiment.evaluate({"stored": d}, {"stored": d.embeddings})
+    """The whole grid: both text encoders for the message and for the user."""
+    stored = _design(spark, sf, True)
+    texts = benchmark_messages(spark, sf).select("message_id", "text")
+    hashed = stage(hashed_embedding(texts, "message_id"))
+    designs = {"stored": stored, "hashed": Design(stored.corpus, hashed)}
+    return experiment.evaluate(designs, {"stored": stored.embeddings, "hashed": hashed})
 
 
 QUERIES = {

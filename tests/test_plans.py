@@ -11,6 +11,7 @@ from agorascope.operators.corpus import Corpus
 from agorascope.operators.profile import message_profiles
 from agorascope.plans import classifier, experiment, metrics
 from agorascope.plans.design import Design
+from agorascope.queries import QUERIES
 from agorascope.schema import ANNOTATED_TAGS, NO_PARENT, TAG_CATEGORY, TAGS as ALL_TAGS
 from agorascope.sources.messages import pack, read_annotated_csv
 from agorascope.sources.store import FeatureStore, fingerprint, nested_results, write_results
@@ -186,13 +187,41 @@ def test_classifier_learns(spark):
     df = spark.createDataFrame(
         rows, "fit int, message_id long, inputs array<float>, ids array<int>, y array<int>"
     ).repartition(3)
-    weights = classifier.fit(df, 3, 2, 4, 2, rounds=60, rate=0.2)
-    out = classifier.score(df, weights, 3, 2, 2)
+    weights, authors = classifier.fit(df, 3, 2, 2, rounds=25, rate=0.4)
+    out = classifier.score(df, weights, 3, 2, 2, authors)
     assert out.count() == 1600
     right = out.select(F.avg(((F.col("p") > 0.5).cast("int") == F.col("y")).cast("double"))).first()[0]
     assert right > 0.95
 
 
+def test_every_author_has_a_weight(spark, monkeypatch):
+    # more authors than any fixed table would hold; those 4096 apart have opposite labels
+    many = [(0, i, [0.0], [i, (i + 7) % 6000], [int(i >= 4096)]) for i in range(6000)]
+    df = spark.createDataFrame(many, "fit int, message_id long, inputs array<float>, ids array<int>, y array<int>")
+    results = []
+    for rows in (classifier.BROADCAST_ROWS, 0):  # attached by broadcast, and by shuffle
+        monkeypatch.setattr(classifier, "BROADCAST_ROWS", rows)
+        weights, authors = classifier.fit(df.repartition(5), 1, 1, 2, rounds=4, rate=0.5)
+        assert authors.count() == 12000
+        out = classifier.score(df, weights, 1, 1, 2, authors)
+        results.append({r.message_id: r.p for r in out.collect()})
+        assert all((results[-1][i] > 0.5) == (i >= 4096) for i in (0, 5, 1000, 4096, 4101, 5096))
+    assert results[0] == pytest.approx(results[1])
+
+
+def test_gradients_meet_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(classifier, "FAN_IN", 2)
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(40, 2)), rng.integers(0, 2, size=(40, 1))
+    rows = [(0, i, [float(v) for v in x[i]], [int(y[i, 0])]) for i in range(40)]
+    df = spark.createDataFrame(rows, "fit int, message_id long, inputs array<double>, y array<int>").repartition(9)
+    weights, _ = classifier.fit(df, 2, 1, rounds=1, rate=0.1)
+    share = y.mean()
+    grad = np.append(x.T @ (share - y), (share - y).sum(keepdims=True).reshape(1, 1), axis=0) / 40
+    start = np.array([[0.0], [0.0], [np.log(share / (1 - share))]])
+    assert weights[0] == pytest.approx(start - 0.1 * grad / (np.abs(grad) + 1e-8), abs=1e-6)
+
+
 def test_text_embeddings(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, "b a a")], "id long, text string")
     got = {r["id"]: r["embedding"] for r in hashed_embedding(df, "id", 16).collect()}
@@ -214,7 +243,8 @@ def test_registered_queries(spark):
 
     sql, registered = contract.oracle_sql(), contract.queries()
     assert set(sql) <= set(registered)
-    assert set(registered) - set(sql) == {"tag_scores", "cv_results"}
+    # the optional queries have tests of their own
+    assert set(QUERIES) - set(sql) == {"tag_scores", "cv_results"}
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
