@@ -77,6 +77,13 @@ def _find_segments(window: int, gram: int):
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(found.hashes * powers[: len(found.hashes)], dtype=np.uint64)])
                 begin = found.first[:-1][text] + start
                 content = arrowwords.mix((sums[begin + n + window - 1] - sums[begin]) * inverse[begin] + n.astype(np.uint64))
+                # a segment that its own text already has is a repeat whatever the others have; it is
+                # marked by a negative n and spread, so that repetitive texts fill no anchor
+                order = np.lexsort((start, content, text))
+                again = np.zeros(len(text), bool)
+                again[order[1:]] = (content[order[1:]] == content[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+                anchor = np.where(again, arrowwords.mix(content + start.astype(np.uint64)), anchor)
+                n = np.where(again, -n, n)
                 at = pa.array(row + text)
                 yield pa.record_batch(
                     [
@@ -98,17 +105,25 @@ def _keep_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for rows in _groups(batches, "anchor"):
         rows = rows.combine_chunks()
         anchor, content = rows.column("anchor").to_numpy(), rows.column("content").to_numpy()
-        new = np.ones(len(anchor) + 1, bool)
-        new[1:-1] = anchor[1:] != anchor[:-1]
+        n = rows.column("n").to_numpy()
+        mine = np.flatnonzero(n > 0)
+        new = np.ones(len(mine) + 1, bool)
+        new[1:-1] = anchor[mine[1:]] != anchor[mine[:-1]]
         starts = np.flatnonzero(new)
         several = np.repeat(np.diff(starts) > 1, np.diff(starts))
         first = new[:-1].copy()
-        first[1:] |= content[1:] != content[:-1]
-        keep = pa.array(np.flatnonzero(several))
-        columns = [rows.column(c).take(keep).combine_chunks() for c in ("doc_id", "text_hash", "start", "n", "anchor", "content")]
+        first[1:] |= content[mine[1:]] != content[mine[:-1]]
+        # rows of one document at one place are no copies of each other
+        head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+        doc, start = rows.column("doc_id").to_numpy()[mine], rows.column("start").to_numpy()[mine]
+        first |= (doc == doc[head]) & (start == start[head])
+        known = np.flatnonzero(n < 0)  # repeats within a text
+        keep = pa.array(np.concatenate([mine[several], known]))
+        columns = [rows.column(c).take(keep).combine_chunks() for c in ("doc_id", "text_hash", "start", "anchor", "content")]
         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        columns.insert(3, pa.array(np.abs(n[keep.to_numpy()])))
         yield pa.record_batch(
-            [*columns, pa.array(first[several])],
+            [*columns, pa.array(np.concatenate([first[several], np.zeros(len(known), bool)]))],
             names=["doc_id", "text_hash", "start", "n", "anchor", "content", "first"],
         )
 
