@@ -10,7 +10,7 @@ from ..functions.scaling import array_sum
 from ..schema import TAGS
 from ..settings import DEFAULT_LIMITS, Limits, cut, stage
 from .forest import depth_and_size, parent_links, preorder
-from .skew import lookup_join, running
+from .skew import lookup_join, ranged, running
 
 
 class Corpus:
@@ -76,15 +76,11 @@ class Corpus:
     @cached_property
     def tree_visits(self) -> DataFrame:
         """(message_id, tree_id, lo, hi, size): seen from the own row of the thread onwards."""
-        rows = self.columns("message_id", "tree_id")
-        block = F.shiftright("message_id", self.limits.block_bits) if self.wide else None
-        ranked = running(
-            rows.withColumn("one", F.lit(1).cast("long")),
-            ["tree_id"],
-            "message_id",
-            {"rank": ("sum", "one")},
-            block,
-        )
+        rows = self.columns("message_id", "tree_id").withColumn("one", F.lit(1).cast("long"))
+        if self.wide:
+            rows = ranged(rows, "tree_id", "message_id")
+        block = F.col("range") if self.wide else None
+        ranked = running(rows, ["tree_id"], "message_id", {"rank": ("sum", "one")}, block)
         sized = lookup_join(
             ranked, self.thread_sizes, ["tree_id"], self.rows, "inner", self.limits
         )

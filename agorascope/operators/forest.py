@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..schema import NO_PARENT
 from ..settings import DEFAULT_LIMITS, Limits, cut
-from .skew import lookup_join, running
+from .skew import lookup_join, ranged, running
 
 
 def parent_links(messages: DataFrame, rows: int, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
@@ -104,7 +104,8 @@ def preorder(
     )
     block = None
     if widest > 1 << limits.block_bits:
-        block = F.shiftright("message_id", limits.block_bits)
+        siblings = ranged(siblings, "tree_id", "under", "message_id")
+        block = F.col("range")
     offsets = running(
         siblings, ["tree_id", "under"], "message_id", {"upto": ("sum", "size")}, block
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..settings import DEFAULT_LIMITS, Limits
+from ..settings import DEFAULT_LIMITS, Limits, cut
 
 
 def lookup_join(
@@ -47,6 +47,15 @@ def lookup_join(
     return out
 
 
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """`df` cut into range partitions by `order`, with the partition's number as column `range`.
+
+    The number never decreases along `order`, and the ranges hold about as many rows each however
+    the values are spread, so it serves as a block of `running`.
+    """
+    return cut(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+
+
 def running(
     df: DataFrame,
     keys: list[str],

@@ -21,7 +21,7 @@ from .operators.profile import (
     ALL, author_totals, default_profile, flatten, forum_profile, fit_totals, message_profiles,
     raw_profile, with_tags,
 )
-from .operators.skew import running
+from .operators.skew import ranged, running
 from .plans import experiment, metrics
 from .plans.design import Design, behaviour_names, spread
 from .schema import ANNOTATED_TAGS, CSV_SCHEMA, N_FOLDS, SCALED, TAGS, profile_columns
@@ -166,7 +166,9 @@ def context_branch(spark, sf):
 def running_activity(spark, sf):
     c = _corpus(spark, sf)
     rows = c.columns("message_id", "tree_id", "author", "ts").withColumn("one", F.lit(1).cast("long"))
-    block = F.shiftright("message_id", c.limits.block_bits) if c.wide else None
+    if c.wide:
+        rows = ranged(rows, "tree_id", "author", "message_id")
+    block = F.col("range") if c.wide else None
     out = running(
         rows, ["tree_id", "author"], "message_id",
         {"num_comment": ("sum", "one"), "first_ts": ("min", "ts"), "last_ts": ("max", "ts")}, block,

@@ -8,7 +8,7 @@ from agorascope.operators.corpus import Corpus
 from agorascope.operators.embedding import author_means, context_means
 from agorascope.operators.folds import assignment_phases, group_folds, in_folds, test_authors as fold_test_authors
 from agorascope.operators.intervals import covering_extremes
-from agorascope.operators.skew import lookup_join, running
+from agorascope.operators.skew import lookup_join, ranged, running
 from agorascope.settings import Limits
 from test_profiles import TAGS, TINY, messages, random_threads
 
@@ -144,5 +144,18 @@ def test_author_positions(spark):
     assert {r["message_id"]: names[r["author_idx"]] for r in author_one_hot(corpus).collect()} == {
         r[0]: r[3] for r in rows if r[3] is not None
     }
-    positions = row_positions(corpus.messages, block_bits=2).collect()
+    positions = row_positions(corpus.messages).collect()
     assert {r["message_id"]: r["position"] for r in positions} == {r[0]: i for i, r in enumerate(rows)}
+
+
+def test_blocks_of_sparse_ids(spark):
+    """Ids far apart fill no fewer ranges than dense ones, and no window sees more than a range."""
+    ids = [i << 20 for i in range(300)]
+    rows = spark.createDataFrame([(i,) for i in ids], "message_id long")
+    # such small ranges would be put together
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r.message_id: r.position for r in row_positions(rows).collect()}
+    assert got == {m: k for k, m in enumerate(ids)}
+    ranges = [r["count"] for r in ranged(rows, "message_id").groupBy("range").count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranges) == 3 and max(ranges) < 200
