@@ -169,17 +169,13 @@ def cleaned(docs: DataFrame, host: str = "source") -> DataFrame:
     left = F.when(F.col("frequent").isNull(), F.col("own")).otherwise(
         F.array_join(F.filter(F.split("own", "\n", -1), stays), "\n")
     )
-    judged_rows = joined.select(
-        "row",
-        left.alias("left"),
-        let(words(F.col("own")), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("repeated"))).alias("w"),
-        F.size(words(left)).alias("n_left"),
+    # one expression, used once: a filter on columns would be pushed down and compute them again
+    good = let(
+        words(F.col("own")),
+        lambda w: (F.size(w) >= 50)
+        & (100 * F.size(words(left)) >= LEAST_KEPT_PERCENT * F.size(w))
+        & (100 * repeated_words(w) <= 50 * F.size(w)),
     )
-    good = (
-        (F.col("w.n") >= 50)
-        & (100 * F.col("w.repeated") <= 50 * F.col("w.n"))
-        & (100 * F.col("n_left") >= LEAST_KEPT_PERCENT * F.col("w.n"))
-    )
-    return judged_rows.where(good).select(
+    return joined.where(good).select("row", left.alias("left")).select(
         *[F.col("left").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     )
