@@ -2,12 +2,16 @@
 
 Each distinct shingle set has a signature of LANES minimum hashes. A tree of the forest is an order
 of the signatures by some sequence of lanes; sets that share their first lanes there form a region.
-A region starts at MIN_DEPTH lanes, which a pair of similarity 0.75 misses in all TREES trees with a
-probability of 5e-5, and where more than REGION sets share these lanes it goes deeper, lane by lane.
-Within a region the sets are sorted, neighbours with the longest common prefix are compared first,
-and then only sets that are not yet connected. Connected means an estimated similarity of at least
-ESTIMATE, over four standard deviations below the threshold, so a region yields a spanning forest,
-never all its pairs.
+A region has MIN_DEPTH lanes, which a pair of similarity 0.75 misses in all TREES trees with a
+probability of 5e-5, whatever the region's size. Within a region the sets are sorted, neighbours with
+the longest common prefix are compared first, and then only sets that are not yet connected. Connected
+means an estimated similarity of at least ESTIMATE, over four standard deviations below the threshold,
+so a region yields a spanning forest, never all its pairs.
+
+No task holds more than some REGION sets. A region of more is first connected as far as deeper prefixes
+and salted blocks of the deepest go, which settles large groups of variants. What is then outside the
+region's largest component is compared with all of the region that is in another component, in pairs of
+blocks. So no pair of a region is left out; the cost is the product of the region and its remainder.
 
 Sets so connected form clusters; all links lie within a cluster. Each cluster's full sets are then
 compared exactly by an inverted list, once, in blocks of at most BLOCK sets and every pair of
@@ -219,32 +223,103 @@ def _connect_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield _edges(found)
 
 
+def _connect_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between different components: of sets of side 0 with sets of side 1 of the same part."""
+    need = int(np.ceil(ESTIMATE * LANES))
+    for rows in _groups(batches, "part"):
+        part = rows.column("part").to_numpy()
+        node, side = rows.column("node").to_numpy(), rows.column("side").to_numpy()
+        signed = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(len(node), LANES)
+        _, label = np.unique(rows.column("component").to_numpy(), return_inverse=True)
+        bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        found = []
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            own = label[low:high].copy()
+            split = int((side[low:high] == 0).sum())
+            sets, other = signed[low:high], own[split:]
+            for i in range(split):
+                rest = np.flatnonzero(other != own[i])
+                hit = split + rest[(sets[split:][rest] == sets[i]).sum(1) >= need]
+                if len(hit):
+                    joined, one = np.unique(own[hit], return_index=True)
+                    b = node[low + hit[one]]
+                    found.append((np.full(len(b), node[low + i]), b))
+                    own[np.isin(own, joined)] = own[i]
+        yield _edges(found)
+
+
+def _rest_edges(nodes: DataFrame, large: DataFrame, edges: DataFrame, region: int) -> DataFrame:
+    """What ``edges`` leave unconnected in the regions ``large`` (region, node), each over ``region`` sets."""
+    known = components(edges)
+    members = large.join(known, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component"))
+    members = written(members, "region-members")
+    sizes = members.groupBy("region", "component").count().groupBy("region").agg(
+        F.sum("count").alias("n"), F.max(F.struct("count", "component")).alias("most")
+    )
+    blocks = lambda n: F.ceil(n / F.lit(region))
+    sizes = sizes.where(F.col("n") > F.col("most.count")).select(
+        "region",
+        F.col("most.component").alias("main"),
+        blocks(F.col("n")).alias("blocks"),
+        blocks(F.col("n") - F.col("most.count")).alias("rest_blocks"),
+    )
+    members = members.join(small(written(sizes, "large-regions")), "region")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    rest = members.where("component != main").select(
+        "node", "component", "region", dealt("rest_blocks").alias("x"), upto("blocks").alias("y"), F.lit(0).alias("side")
+    )
+    whole = members.select(
+        "node", "component", "region", upto("rest_blocks").alias("x"), dealt("blocks").alias("y"), F.lit(1).alias("side")
+    )
+    parts = rest.unionByName(whole).select("node", "component", F.xxhash64("region", "x", "y").alias("part"), "side")
+    return (
+        parts.join(nodes, "node")
+        .repartition("part")
+        .sortWithinPartitions("part", "side", "node")
+        .select("part", "side", "node", "component", "signature")
+        .mapInArrow(_connect_parts, EDGES)
+    )
+
+
 def forest_edges(nodes: DataFrame, region: int = REGION) -> DataFrame:
     """Spanning forests of all regions of ``nodes`` (node, signature)."""
     lane = lambda i: F.substring("signature", i % LANES * 4 + 1, 4)
     prefix = lambda t, depth: F.xxhash64(F.lit(t), *[lane(MIN_DEPTH * t + i) for i in range(depth)])
     trees = F.array(*[F.struct(F.lit(t).alias("tree"), prefix(t, MIN_DEPTH).alias("region")) for t in range(TREES)])
     left = nodes.select("node", F.explode(trees).alias("t")).select("node", "t.tree", "t.region")
-    done = None
+    done = whole = None
     for depth in range(MIN_DEPTH, MAX_DEPTH + 1):
         sizes = left.groupBy("region").count().where("count > 1")
         sizes = written(sizes, "regions")
-        large = sizes.where(F.col("count") > region) if depth < MAX_DEPTH else sizes.limit(0)
-        placed = left.join(sizes.where(F.col("count") <= region) if depth < MAX_DEPTH else sizes, "region").drop("count")
+        large = sizes.where(F.col("count") > region)
+        placed = left.join(sizes.where(F.col("count") <= region), "region").select("node", "tree", "region")
         done = placed if done is None else done.unionByName(placed)
         if large.isEmpty():
             break
+        if whole is None:
+            whole = written(left.join(large, "region", "left_semi").select("region", "node"), "large-members")
+        if depth == MAX_DEPTH:
+            # each tree deals its blocks anew, so the blocks of a large group meet in other trees
+            block = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("count") / region))
+            dealt = left.join(large, "region").select("node", "tree", F.xxhash64("region", block).alias("region"))
+            done = done.unionByName(dealt)
+            break
         deeper = F.element_at(
             F.array(*[prefix(t, depth + 1) for t in range(TREES)]), F.col("tree") + 1
         )
         left = left.join(large, "region", "left_semi").join(nodes, "node").select("node", "tree", deeper.alias("region"))
     signed = done.select("region", "node").join(nodes, "node")
-    return (
+    edges = (
         signed.repartition("region")
         .sortWithinPartitions("region", "signature", "node")
         .select("region", "node", "signature")
         .mapInArrow(_connect_regions, EDGES)
     )
+    if whole is None:
+        return edges
+    edges = written(edges, "region-edges")
+    return edges.unionByName(_rest_edges(nodes, whole, edges, region))
 
 
 def exact_links(values: np.ndarray, first: np.ndarray, split: int = 0, percent: int = PERCENT) -> np.ndarray:

@@ -61,6 +61,23 @@ def test_minhash(docs, fixture_rows, monkeypatch, block, region):
         assert all(want[row.component_id] == want[i] for i, same in found.items() for row in same)
 
 
+def test_minhash_large_regions(docs, fixture_rows, spark, monkeypatch):
+    # 40 sets share the two lanes of one tree; two pairs are alike in lanes no deeper prefix has
+    r = np.random.default_rng(6)
+    signed = r.integers(0, 1 << 32, (40, minhash.LANES), dtype=np.uint32)
+    signed[:, :2] = 7
+    signed[30:, 32:] = signed[30, 32:]  # a group
+    signed[5, 32:], signed[17, 32:] = signed[12, 32:], signed[33, 32:]
+    nodes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(signed)], "node long, signature binary")
+    for region in (3, 39, 40):
+        found = components(minhash.forest_edges(written(nodes, "nodes"), region)).collect()
+        assert {x.node: x.component for x in found} == {5: 5, 12: 5, 17: 17, **{i: 17 for i in range(30, 40)}}
+    monkeypatch.setattr(minhash.forest_edges, "__defaults__", (3,))
+    want = brute.near(fixture_rows)[1]
+    for row in minhash.near_duplicates(docs).collect():
+        assert (row.component_id, row.kept) == (want[row.doc_id], want[row.doc_id] == row.doc_id)
+
+
 def test_minhash_without_id(table):
     found = minhash.near_duplicates(table([(None, "a b c d e f", "s"), (1, "a b c d e f", "s"), (None, None, None)]))
     assert sorted((r.doc_id is None, r.n_shingles, r.component_id, r.kept) for r in found.collect()) == sorted(
