@@ -19,7 +19,7 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return line_join.summary(docs, line_join.removed_lines(docs))
+    return line_join.summary(docs, line_join.removed_lines(docs, least_words=1))
 
 
 def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,20 @@ def test_line_join(docs, fixture_rows):
     assert {r.doc_id: r.text for r in cleaned.collect()} == left
 
 
+def test_line_join_of_short_lines(docs, table, fixture_rows, tmp_path):
+    from agorascope.llm.queries import QUERIES
+
+    odd = [(80, "Les.\n\nso so so so so so so\na b c d e", "s"), (81, "les.\nso\n\na b c d\na b c d e f\nb a c d e", "s")]
+    for rows in (fixture_rows, odd):
+        want = brute.similar_lines(rows, least=1)
+        assert want != brute.similar_lines(rows)
+        found = docs if rows is fixture_rows else table(rows)
+        path = f"{tmp_path}/{len(rows)}"
+        found.write.parquet(f"{path}/documents.parquet")
+        got = QUERIES["op3_line_similarity_join"](docs.sparkSession, path).collect()
+        assert {r.doc_id: r.removed for r in got if r.n_removed} == {i: ",".join(map(str, x)) for i, x in want.items()}
+
+
 @pytest.mark.parametrize("spaces, path", [(False, tokens.word_vocabulary()), (True, tokens.byte_vocabulary())])
 def test_encoder(fixture_rows, monkeypatch, spaces, path):
     texts = [t or "" for _, t, _ in fixture_rows]
