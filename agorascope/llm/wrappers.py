@@ -8,9 +8,11 @@ whether its text was always the same. Wrappers are built per task over all its p
 ones merged, so every page counts and no host meets in one task as a whole.
 
 A page is then aligned with its host's wrapper. Nodes whose text never varies over COMMON pages or
-more are template; varying slots are content, unless their tag, class or id marks them as something
-beside the article, or they consist of links outside it. If the page has an article or a
-main element, content comes from there.
+more are template, folded siblings one by one; varying slots are content, unless their tag, class or id
+marks them as something beside the article, or they consist of links outside it. If the page has an
+article or a main element, content comes from there. Copies of a page are one page of its wrapper. A
+class or id never marks the page's own elements (html, body, main, an article outside others), nor a box
+that holds most of the page's text and, if it has any, its article, main element or heading.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agorascope.llm.store import written
+from agorascope.llm.store import small, written
 
 COMMON = 4  # pages from which on an unvarying text is template
 SALTS = 16
@@ -49,6 +51,7 @@ _MARKED = re.compile(
     r"share|sharing|social|related|recommended|subscribe|newsletter|signup|login|search|widget|pagination|pager|toolbar|skip|legal|copyright)"
     r"(?:$|[\s_-])|comment|cookie|advert"
 )
+_OWN = {"html", "body", "main"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
 _SPACE = re.compile(r"\s+")
 
@@ -58,6 +61,7 @@ class Node:
     tag: str
     label: str = ""
     marked: bool = False
+    named: bool = False  # marked by its class or id only
     children: list = field(default_factory=list)  # nodes and texts in page order
 
 
@@ -82,9 +86,11 @@ class _Builder(HTMLParser):
                 self._close(_CLOSES[tag], {"ul", "ol", "dl", "table", "select"})
         own = {k: v or "" for k, v in attrs}
         name = f"{own.get('class', '')} {own.get('id', '')}".strip().lower()
-        marked = tag in _NEVER or own.get("role", "") in _ROLES or "hidden" in own or bool(name and _MARKED.search(name))
+        fixed = tag in _NEVER or own.get("role", "") in _ROLES and tag not in _OWN or "hidden" in own
+        whole = tag in _OWN or tag == "article" and all(n.tag != "article" for n in self.stack)
+        named = not fixed and not whole and bool(name and _MARKED.search(name))
         label = tag + "." + re.sub(r"\d+", "0", name) if name else tag
-        node = Node(tag, label, marked)
+        node = Node(tag, label, fixed or named, named)
         self.stack[-1].children.append(node)
         if tag not in _VOID:
             self.stack.append(node)
@@ -108,24 +114,65 @@ def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
     builder.close()
+    _unmark(builder.root)
     return builder.root
 
 
+def _unmark(root: Node) -> None:
+    """Takes the marks by name off boxes that hold most of the page's text and what it is about."""
+    sizes: dict[int, tuple[int, bool]] = {}
+
+    def size(node: Node) -> tuple[int, bool]:
+        chars, core = 0, node.tag in {"main", "h1"} or node.tag == "article" and not node.named
+        for child in node.children:
+            if isinstance(child, str):
+                chars += len(child.strip())
+            elif not child.marked or child.named:
+                n, c = size(child)
+                chars, core = chars + n, core or c
+        sizes[id(node)] = chars, core
+        return chars, core
+
+    total, any_core = size(root)
+    work = [root]
+    while work:
+        node = work.pop()
+        chars, core = sizes[id(node)]
+        if node.named and 2 * chars > total and (core or not any_core):
+            node.marked = node.named = False
+        work += [c for c in node.children if isinstance(c, Node) and id(c) in sizes and (not node.marked)]
+
+
 @dataclass
 class Slot:
     """A node of a wrapper, or of one folded page (pages = 1)."""
 
     label: str
-    text: int | None = None  # hash of the text if all pages had the same, else None
+    text: tuple[int, ...] | None = None  # hashes of the nodes' texts that all pages had, None if there are none
     pages: int = 1
     chars: int = 0
     children: list = field(default_factory=list)
 
 
+def _own_text(node: Node) -> str:
+    return " ".join(_SPACE.sub(" ", c).strip() for c in node.children if isinstance(c, str)).strip()
+
+
+def _telling(node: Node, siblings: list[Node]) -> bool:
+    """Whether a constant text makes the node template: of folded siblings, only whole blocks of text
+    do, as words in inline elements or between them recur within sentences."""
+    return len(siblings) == 1 or node.tag not in _INLINE and all(isinstance(c, str) for c in node.children)
+
+
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
 def _folded(nodes: list[Node], owner: dict[int, list[Node]]) -> Slot:
     """One slot for same-label siblings; ``owner`` lists each slot's nodes by its identity."""
-    text = " ".join(_SPACE.sub(" ", c).strip() for n in nodes for c in n.children if isinstance(c, str)).strip()
-    slot = Slot(nodes[0].label, zlib.crc32(text.encode()) if len(nodes) == 1 else None, 1, len(text))
+    texts = [_own_text(n) for n in nodes]
+    own = sorted({_hash(t) for n, t in zip(nodes, texts) if _telling(n, nodes)})
+    slot = Slot(nodes[0].label, tuple(own) or None, 1, sum(map(len, texts)))
     owner[id(slot)] = nodes
     groups: dict[str, list[Node]] = {}
     for node in nodes:
@@ -165,7 +212,7 @@ def merge(wrapper: Slot, other: Slot) -> Slot:
     wrapper.pages += other.pages
     wrapper.chars += other.chars
     if wrapper.text != other.text:
-        wrapper.text = None
+        wrapper.text = tuple(t for t in wrapper.text or () if t in set(other.text or ())) or None
     taken, children, at = dict((j, i) for i, j in pairs), [], 0
     for j, child in enumerate(other.children):
         if j in taken:
@@ -187,7 +234,8 @@ def main_text(root: Node, wrapper: Slot | None) -> str:
 
     def label(slot: Slot, known: Slot | None) -> None:
         if known is not None and known.text is not None and COMMON <= known.pages and 2 * known.pages > total:
-            template.update(map(id, owner[id(slot)]))
+            nodes = owner[id(slot)]
+            template.update(id(n) for n in nodes if _telling(n, nodes) and _hash(_own_text(n)) in known.text)
         if known is not None:
             for i, j in match(known, slot)[1]:
                 label(slot.children[j], known.children[i])
@@ -306,10 +354,22 @@ def _merge_all(table: pa.Table) -> pa.Table:
     return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [pickle.dumps(merged)]})
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """host, html of each distinct page of a host; pages that differ only in the attributes of their
+    tags or in white space are copies. Only pages that have copies are shuffled."""
+    bare = F.regexp_replace(F.regexp_replace("html", r"<([A-Za-z][A-Za-z0-9]*)\s[^>]*>", "<$1>"), r"\s+", " ")
+    keyed = pages.select("host", "html", F.coalesce(F.xxhash64(bare), F.lit(0).cast("long")).alias("key"))
+    keys = keyed.groupBy("host", "key").count().where("count > 1").select("host", "key")
+    copied = small(written(keys, "copied-pages"))
+    once = keyed.join(copied, ["host", "key"], "left_anti")
+    copies = keyed.join(copied, ["host", "key"], "left_semi").groupBy("host", "key").agg(F.min("html").alias("html"))
+    return once.select("host", "html").unionByName(copies.select("host", "html"))
+
+
 def induced(pages: DataFrame) -> DataFrame:
     """One wrapper per host of ``pages`` (host, html): partial wrappers of the tasks, merged first
     in SALTS groups per host and then by host."""
-    partial = pages.select("host", "html").mapInArrow(_induce, WRAPPERS)
+    partial = distinct_pages(pages).select("host", "html").mapInArrow(_induce, WRAPPERS)
     salted = partial.withColumn("salt", F.pmod(F.crc32("wrapper"), F.lit(SALTS)))
     first = salted.groupBy("host", "salt").applyInArrow(_merge_all, WRAPPERS)
     return first.groupBy("host").applyInArrow(_merge_all, WRAPPERS)

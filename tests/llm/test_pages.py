@@ -65,6 +65,30 @@ def test_large_wrappers_are_joined(spark, monkeypatch):
     assert {r.page_id: r.text for r in wrappers.extract(table).collect()}.keys() == {i for i, *_ in found}
 
 
+def test_names_do_not_mark_the_page():
+    text = "<h1>Title</h1><p>The whole article is here.</p>"
+    for html in (
+        f"<html class='comments-open'><body class='no-sidebar has-banner'>{text}</body></html>",
+        f"<body><main id='has-sidebar'><article class='post comments-open'>{text}</article></main></body>",
+        f"<body><nav>home</nav><div class='has-sidebar'><div class='sidebar'>aside</div>{text}</div></body>",
+    ):
+        assert wrappers.main_text(wrappers.parse(html), None) == "Title\nThe whole article is here.", html
+    reader = "<p>" + "I say what many readers say. " * 20 + "</p>"
+    html = f"<body><article>{text}<div class='comments'><article class='comment'>{reader}</article></div></article></body>"
+    assert wrappers.main_text(wrappers.parse(html), None) == "Title\nThe whole article is here."
+
+
+def test_copies_and_constant_siblings(spark):
+    copy = "<body><h1>Same title</h1><div><p {}>Only text</p></div></body>"
+    rows = [(i, f"https://copies.org/{i}", copy.format(f"id='p{i % 3}'" if i > 3 else "")) for i in range(8)]
+    want = {i: "Same title\nOnly text" for i in range(8)}
+    for i in range(10, 18):
+        rows.append((i, f"https://own.org/{i}", f"<body><p>text {i}</p><p>more {i}</p><p>All rights reserved.</p></body>"))
+        want[i] = f"text {i}\nmore {i}"
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in wrappers.extract(table).collect()} == want
+
+
 def test_tree_matching():
     a = wrappers._folded([wrappers.parse("<div><p>a</p><ul><li>x</li></ul><h2>t</h2></div>")], {})
     b = wrappers._folded([wrappers.parse("<div><h1>n</h1><p>b</p><h2>t</h2></div>")], {})
