@@ -6,13 +6,20 @@ and searched for further encodings, until nothing new is found. A layer that was
 same place with the same content, is not opened again, so decodings that reproduce themselves end.
 Every character of a layer knows the span of the original text it came from, which gives a secret
 found at any depth its place in the original.
+
+Base64 runs are decoded line by line and joined over single line breaks. All members of gzip and zlib
+data and all frames of zstd data are read. A compressed layer of over MAX_LAYER bytes is opened as a
+stream of windows, cut where nothing that is looked for can go on; a stretch of over MAX_LAYER characters
+without such a place is left out, and its layer counted as unopened.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import html
+import itertools
 import re
 import zlib
 from collections import deque
@@ -25,7 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
-MAX_LAYER = 1 << 26  # bytes a compressed layer may have; larger ones stay closed and are counted
+MAX_LAYER = 1 << 26  # bytes a compressed layer may have to be opened as a whole; larger ones are streamed
+CHUNK = 1 << 20
+WINDOW = 1 << 22  # characters of a stream handled together, more where it cannot be cut
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -40,6 +49,9 @@ _ESCAPE = re.compile(
     r"|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
 )
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+_CUT = re.compile(r"""[^A-Za-z0-9+/_.=\-"':%\\&#;{}\s]""")  # in none of the patterns
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -141,70 +153,217 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     )
 
 
+def _packing(head: bytes) -> str | None:
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return "zstd"
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 1 and (head[0] << 8 | head[1]) % 31 == 0:
+        return "zlib"
+    return None
+
+
+def _chunks(source: Iterator[bytes], packing: str) -> Iterator[bytes]:
+    """The decompressed data of all members or frames; what follows the last one is left out."""
+    if packing == "zstd":
+        import zstandard
+
+    def fresh():
+        return zstandard.ZstdDecompressor().decompressobj() if packing == "zstd" else zlib.decompressobj(47)
+
+    tool, first, rest = fresh(), True, b""
+    while True:
+        if tool is None:  # a member has ended: is there another?
+            while len(rest) < 4 and (more := next(source, None)) is not None:
+                rest = bytes(rest) + more
+            if _packing(rest) != packing:
+                return
+            tool, first = fresh(), False
+        if not rest:
+            more = next(source, None)
+            if more is None:
+                return
+            rest = memoryview(more)  # its slices are no copies
+        try:
+            if packing == "zstd":
+                out, rest = tool.decompress(rest[:64]), rest[64:]  # a few bytes may be very many
+                rest = tool.unused_data + bytes(rest) if tool.eof else rest
+            else:
+                out = tool.decompress(rest, CHUNK)
+                rest = tool.unused_data if tool.eof else tool.unconsumed_tail
+        except Exception:
+            if first:
+                raise
+            return
+        if out:
+            yield out
+        if tool.eof:
+            tool = None
+
+
+def _layers_of(raw: bytes) -> Iterator[bytes] | None:
+    """The innermost decompressed data of ``raw``; None if it is not compressed."""
+    source, head = iter([raw]), raw[:4]
+    seen = False
+    while (packing := _packing(head)) is not None:
+        inner = _chunks(source, packing)
+        start = b""
+        try:
+            while len(start) < 4 and (more := next(inner, None)) is not None:
+                start += more
+        except Exception:  # not what its first bytes promise
+            if not seen:
+                return None
+            break
+        if start[:4] == head and start == raw:  # reproduces itself
+            break
+        seen, head, source = True, start[:4], itertools.chain([start], inner)
+        raw = start
+    return source if seen else None
+
+
 def _inflated(raw: bytes) -> tuple[bytes | None, bool]:
-    """Decompressed gzip, zlib or zstd data, or None; and whether it was too large to open."""
+    """Decompressed gzip, zlib or zstd data, or None; and whether it is too large for one layer."""
+    chunks = _layers_of(raw)
+    if chunks is None:
+        return None, False
+    out, size = [], 0
     try:
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                out = reader.read(MAX_LAYER + 1)
-        elif raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            out = zlib.decompressobj(47).decompress(raw, MAX_LAYER + 1)
-        else:
-            return None, False
-    except Exception:  # not what its first bytes promise
+        for chunk in chunks:
+            out.append(chunk)
+            size += len(chunk)
+            if size > MAX_LAYER:
+                return None, True
+    except Exception:
         return None, False
-    return (None, True) if len(out) > MAX_LAYER else (out, False)
+    return b"".join(out), False
+
+
+class Stream:
+    """The windows of a large compressed layer, as layers; ``closed`` tells of parts not opened."""
+
+    def __init__(self, raw: bytes, low: int, high: int, depth: int):
+        self.span, self.depth, self.closed = (low, high), depth, False
+        self.windows = self._read(raw)
+
+    def _read(self, raw: bytes) -> Iterator[Layer]:
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        held, after = [], 0
+
+        def layer(text: str) -> Layer:
+            return _flat(text, *self.span, self.depth)
+
+        chunks = _layers_of(raw)
+        while True:
+            try:
+                chunk = next(chunks, None)
+            except Exception:  # damaged from here on
+                self.closed, chunk = True, None
+            held.append(decoder.decode(chunk or b"", chunk is None))
+            after += len(held[-1])
+            if chunk is None:
+                yield layer("".join(held))
+                return
+            if after <= min(WINDOW, MAX_LAYER):
+                continue
+            text = "".join(held)
+            last = None
+            for last in _CUT.finditer(text, max(0, len(text) - 2 * CHUNK)):
+                pass
+            if last is not None:
+                yield layer(text[: last.end()])
+                held = [text[last.end() :]]
+                after = len(held[0])
+            elif len(text) > MAX_LAYER:
+                self.closed, held, after = True, [], 0
+            else:
+                held, after = [text], len(text) - CHUNK
+
+
+def _flat(text: str, low: int, high: int, depth: int) -> Layer:
+    """A layer whose characters all come from the same span."""
+    return Layer(text, np.broadcast_to(np.int64(low), len(text)), np.broadcast_to(np.int64(high), len(text)), depth)
 
 
 def _readable(text: str) -> bool:
     return len(text) > 0 and sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.95 * len(text)
 
 
-def _unpacked(layer: Layer) -> tuple[list[Layer], int]:
-    """Layers inside the base64 runs of a layer, and how many were too large."""
-    out, closed = [], 0
-    for match in _BASE64.finditer(layer.text):
-        code = match[0].rstrip("=").replace("-", "+").replace("_", "/")
+def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """The base64 runs of a text, each as the (start, end) of its lines: every run within a line; every
+    run over single line breaks, whole, from its second line on, and each block of lines of equal
+    length with a shorter last one."""
+    for match in _BASE64.finditer(text):
+        yield [match.span()]
+    if "\n" not in text:
+        return
+    for match in _WRAPPED.finditer(text):
+        lines = [m.span() for m in _LINE.finditer(text, *match.span())]
+        yield lines
+        if len(lines) > 2:
+            yield lines[1:]
+        size = [b - a for a, b in lines]
+        first = 0
+        for i in range(1, len(lines) + 1):
+            if i == len(lines) or size[i] != size[first]:
+                stop = i + 1 if i < len(lines) and size[i] < size[first] else i
+                if stop - first > 1 and (first, stop) not in ((0, len(lines)), (1, len(lines))):
+                    yield lines[first:stop]
+                first = i
+
+
+def _unpacked(layer: Layer) -> tuple[list[Layer], list[Stream]]:
+    """Layers inside the base64 runs of a layer, and those too large to be opened as a whole."""
+    out, streams = [], []
+    for lines in _runs(layer.text):
+        code = "".join(layer.text[a:b] for a, b in lines).rstrip("=").replace("-", "+").replace("_", "/")
         code = code[: len(code) - (len(code) % 4 == 1)]
         try:
             raw = base64.b64decode(code + "=" * (-len(code) % 4))
         except binascii.Error:
             continue
-        start = match.start()
         opened, large = _inflated(raw)
-        closed += large
-        if opened is not None:
-            while (again := _inflated(opened))[0] is not None and again[0] != opened:
-                opened = again[0]
-            text = opened.decode("utf-8", "replace")
-            low, high = layer.span(start, match.end())
-            out.append(Layer(text, np.full(len(text), low), np.full(len(text), high), layer.depth + 1))
-        elif not large and _is_utf8(raw):
+        if large or opened is not None:
+            low, high = layer.span(lines[0][0], lines[-1][1])
+            if large:
+                streams.append(Stream(raw, low, high, layer.depth + 1))
+            else:
+                out.append(_flat(opened.decode("utf-8", "replace"), low, high, layer.depth + 1))
+            continue
+        try:
             text = raw.decode("utf-8")
-            if _readable(text):
-                # byte i is written by the characters 4i/3 to 4(i+1)/3 of the run
-                sizes = np.array([len(c.encode()) for c in text])
-                ends = np.cumsum(sizes)
-                begins = ends - sizes
-                first, last = layer.maps(start, match.end())
-                out.append(Layer(text, first[begins * 4 // 3], last[-(-ends * 4 // 3) - 1], layer.depth + 1))
-    return out, closed
+        except UnicodeDecodeError as error:
+            # words of the next line may follow a wrapped run
+            text = raw[: error.start].decode("utf-8") if len(lines) > 1 else ""
+        if _readable(text):
+            # byte i is written by the characters 4i/3 to 4(i+1)/3 of the run
+            sizes = np.array([len(c.encode()) for c in text])
+            ends = np.cumsum(sizes)
+            begins = ends - sizes
+            maps = [layer.maps(a, b) for a, b in lines]
+            first, last = (np.concatenate(m) for m in zip(*maps))
+            out.append(Layer(text, first[begins * 4 // 3], last[-(-ends * 4 // 3) - 1], layer.depth + 1))
+    return out, streams
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int, int]], int]:
     """(start, kind, end, depth) of all secrets, each span and kind once with its least depth, by
-    start, kind and end; and the number of layers too large to open."""
+    start, kind and end; and the number of layers with a part that was not opened."""
     found: dict[tuple[int, int, int], int] = {}
-    work, seen, closed = deque([Layer(text, None, None)]), set(), 0
-    while work:
+    seen: dict[tuple[int, int, int], int] = {}
+    work, streams, closed = deque([Layer(text, None, None)]), deque(), 0
+    while work or streams:
+        if not work:  # a window and all that is in it, then the next one
+            window = next(streams[-1].windows, None)
+            if window is None:
+                closed += streams.pop().closed
+                continue
+            work.append(window)
         layer = work.popleft()
         for start, kind, end in scan(layer.text):
             low, high = layer.span(start, end)
-            found.setdefault((low, kind, high), layer.depth)
+            key = (low, kind, high)
+            found[key] = min(found.get(key, layer.depth), layer.depth)
         inner, large = _unpacked(layer)
-        closed += large
+        streams += large
         if "%" in layer.text:
             inner.append(_replaced(layer, _PERCENT, _percent))
         if "\\" in layer.text or "&#" in layer.text:
@@ -213,8 +372,8 @@ def find(text: str) -> tuple[list[tuple[int, int, int, int]], int]:
             if new is None or not new.text:
                 continue
             key = (hash(new.text), int(new.first[0]), int(new.last[-1]))
-            if key not in seen and new.text != layer.text:
-                seen.add(key)
+            if new.text != layer.text and seen.get(key, new.depth + 1) > new.depth:
+                seen[key] = new.depth
                 work.append(new)
     return sorted((*k, depth) for k, depth in found.items()), closed
 

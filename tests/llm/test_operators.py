@@ -360,6 +360,34 @@ def test_secrets_bomb(monkeypatch):
     assert secrets.find(base64.b64encode(zlib.compress(b"a" * 5000)).decode()) == ([], 1)
 
 
+def test_secrets_wrapped_and_members(monkeypatch):
+    import base64
+    import gzip
+    import zstandard
+
+    plain = "some words before it " * 3 + 'password = "hunter2hunter2" ' + "and many after " * 9
+    noise = np.random.default_rng(8).integers(33, 127, 600, dtype=np.uint8).tobytes()
+    for raw in (plain.encode(), gzip.compress(noise + plain.encode()), zlib.compress(noise + plain.encode())):
+        for wrap in (lambda x: base64.encodebytes(x).decode(), lambda x: base64.encodebytes(x).decode().replace("\n", "\r\n  ")):
+            for text in (f"-----BEGIN-----\n{wrap(raw)}-----END-----", f"see averyverylongword\n{wrap(raw)}Then prose\n"):
+                found = [f for f in secrets.find(text)[0] if f[1] == 0]
+                assert found and all(a >= text.index(wrap(raw)[:20]) for a, _, _, _ in found[-1:]), (raw[:9], text)
+    zstd = zstandard.ZstdCompressor().compress
+    for pack in (gzip.compress, zlib.compress, zstd):
+        code = base64.b64encode(pack(b"x" * 30) + pack(plain.encode())).decode()
+        assert [f[:3] for f in secrets.find(code)[0]] == [(0, 0, len(code))]
+    # larger than a layer may be: read in windows, also where a stream holds another
+    monkeypatch.setattr(secrets, "MAX_LAYER", 1000)
+    monkeypatch.setattr(secrets, "WINDOW", 200)
+    big = ("so it is, " * 400 + plain).encode() + b"!" * 50
+    for raw in (gzip.compress(big), zlib.compress(gzip.compress(big)), zstd(big), gzip.compress(base64.b64encode(gzip.compress(plain.encode())) + b", " * 999)):
+        code = base64.b64encode(raw).decode()
+        found, closed = secrets.find(code)
+        assert [f[:3] for f in found] == [(0, 0, len(code))] and closed == 0
+    # nested and not to be cut: counted
+    assert secrets.find(base64.b64encode(gzip.compress(zlib.compress(b"a" * 5000))).decode()) == ([], 1)
+
+
 def test_empty_tables(empty, spark):
     word, byte = tokens.word_vocabulary(), tokens.byte_vocabulary()
     flat = written(separators.write_flat(empty, byte), "flat")
