@@ -250,3 +250,22 @@ def test_registered_queries(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name in ["scan_messages", "group_kfold", "tree_profile", "root_paths", "last_user", "tag_weights"]:
         assert compare(registered[name](spark, sf).toPandas(), con.execute(sql[name]).fetchdf()) == "ok", name
+
+
+def test_cv_results_trains_as_long_as_tag_scores(spark, monkeypatch):
+    import inspect
+
+    from agorascope import queries
+    from agorascope.plans import experiment
+
+    class Fit(Exception):
+        pass
+
+    def fit(train, d, n_tags, n_ids=0, rounds=20, rate=0.1, **_):
+        raise Fit(rounds)
+
+    monkeypatch.setattr(experiment.classifier, "fit", fit)
+    for query in (queries.cv_results, queries.tag_scores):
+        with pytest.raises(Fit) as found:
+            query(spark, "/root/testdata/sf0.001")
+        assert found.value.args == (inspect.signature(experiment.evaluate).parameters["rounds"].default,) == (20,)
