@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorascope.llm import dac, decontaminate, line_frequency, line_join, minhash, packing, secrets, separators, substrings, tokens, wrappers
+from agorascope.llm import dac, decontaminate, line_frequency, line_join, minhash, packing, secrets, separators, substrings, tokens, turns, wrappers
 from agorascope.llm.store import table, written
 
 
@@ -60,6 +60,11 @@ def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return turns.report(rows, turns.repair(turns.damaged(rows)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +78,7 @@ QUERIES = {
         op8_wrapper_induction,
         op9_edit_distance_lsh,
         op10_fm_index,
+        op11_turn_repair,
     )
 }
 
@@ -123,4 +129,68 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_removed_words) >= 50 * n_words AS kept,
   n_removed_words
 FROM base""",
+    "op11_turn_repair": r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations
+), kinds AS (
+  SELECT *, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i::INT, 1))::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)))) % 20 AS kind
+  FROM given
+), hurt AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt
+), faults AS (
+  SELECT *, substr(role, 1, 1) AS initial,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+         WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM numbered
+), way(s, letters, t, price, initial) AS (VALUES
+  (0, 'D', 0, 3, NULL), (1, 'D', 1, 3, NULL), (2, 'D', 2, 3, NULL), (3, 'D', 3, 3, NULL),
+  (0, 'R', 2, 2, NULL), (1, 'R', 2, 2, NULL), (2, 'R', 3, 2, NULL), (3, 'R', 2, 2, NULL),
+  (0, 'IR', 3, 4, NULL), (1, 'IR', 3, 4, NULL), (2, 'IR', 2, 4, NULL), (3, 'IR', 3, 4, NULL),
+  (0, 'K', 1, 0, 's'), (0, 'K', 2, 0, 'u'), (1, 'K', 2, 0, 'u'), (3, 'K', 2, 0, 'u'), (2, 'K', 3, 0, 'a'),
+  (2, 'IK', 2, 2, 'u'), (0, 'IK', 3, 2, 'a'), (1, 'IK', 3, 2, 'a'), (3, 'IK', 3, 2, 'a')
+), steps AS (
+  SELECT f.conv_id, f.i, w.s, w.t, w.letters, w.price + CASE WHEN f.fault = 'truncated' AND w.letters <> 'D' THEN 1 ELSE 0 END AS price,
+    CASE WHEN w.letters LIKE 'I%' THEN chr(10) || CASE w.s WHEN 2 THEN 'assistant:' ELSE 'user:' END ELSE '' END ||
+    CASE right(w.letters, 1) WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text
+         ELSE chr(10) || CASE w.t WHEN 3 THEN 'assistant:' ELSE 'user:' END || f.text END AS added
+  FROM faults f JOIN way w ON (w.initial IS NULL OR w.initial = f.initial)
+    AND (w.letters = 'D' OR coalesce(f.fault, '') NOT IN ('blank', 'duplicate'))
+), best AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS s, 0::BIGINT AS cost, '' AS audit, '' AS repaired FROM (SELECT DISTINCT conv_id FROM hurt)
+  UNION ALL
+  SELECT conv_id, i, t, cost, audit, repaired FROM (
+    SELECT b.conv_id, p.i, p.t, b.cost + p.price AS cost, b.audit || p.letters AS audit, b.repaired || p.added AS repaired
+    FROM best b JOIN steps p ON b.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = b.i + 1 AND p.s = b.s)
+  QUALIFY row_number() OVER (PARTITION BY conv_id, t ORDER BY cost, audit) = 1
+), ended AS (
+  SELECT conv_id, i, cost + CASE s WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END AS cost,
+    audit || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit,
+    repaired || CASE s WHEN 1 THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 2 THEN chr(10) || 'assistant:' ELSE '' END AS repaired
+  FROM best
+), chosen AS (
+  SELECT * FROM ended QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC, cost, audit) = 1
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(substr(coalesce(repaired, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN chosen b ON o.conv_id IS NOT DISTINCT FROM b.conv_id""",
 }
