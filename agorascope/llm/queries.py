@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorascope.llm import dac, decontaminate, line_frequency, line_join, minhash, packing, secrets, separators, substrings, tokens, turns, wrappers
+from agorascope.llm import dac, decontaminate, line_frequency, line_join, minhash, packing, phrases, secrets, separators, substrings, tokens, turns, wrappers
 from agorascope.llm.store import table, written
 
 
@@ -65,6 +65,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.report(rows, turns.repair(turns.damaged(rows)))
 
 
+def op12_phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +83,7 @@ QUERIES = {
         op9_edit_distance_lsh,
         op10_fm_index,
         op11_turn_repair,
+        op12_phrase_counts,
     )
 }
 
@@ -193,4 +198,33 @@ SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN chosen b ON o.conv_id IS NOT DISTINCT FROM b.conv_id""",
+    "op12_phrase_counts": r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM piece),
+gram AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+  FROM worded, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(words) >= size
+), f AS (SELECT lang, size, phrase, count(*) AS f FROM gram GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+candidate AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE size >= 2 AND f >= 30),
+cut AS (
+  SELECT lang, phrase, a, k, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidate)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, h.f AS l, t.f AS r, ((2000000::HUGEINT * c.a) // (h.f::HUGEINT + t.f))::BIGINT AS score
+  FROM cut c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, a, array_to_string(words[p:p + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, size - m + 2)) AS p FROM (SELECT *, unnest(range(2, size)) AS m FROM candidate WHERE size > 2))
+), kept AS (
+  SELECT s.* FROM scored s LEFT JOIN (SELECT lang, phrase, max(a) AS cover FROM inside GROUP BY ALL) i USING (lang, phrase)
+  WHERE cover IS NULL OR 100::HUGEINT * cover < 80::HUGEINT * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang)
+QUALIFY rank <= 2000""",
 }
