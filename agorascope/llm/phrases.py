@@ -29,10 +29,10 @@ from agorascope.operators.skew import lookup_join
 
 LONGEST, LEAST, COVERED, TOP = 4, 30, 80, 2000
 SCALE = 2_000_000
-ENTRIES = 1 << 20  # of a task's trie
+ENTRIES = 1 << 19  # of a task's trie
 HEAVY = 1024  # a word is heavy with more than this share of all words, so at most so many are
 FILTER_WORDS = 1 << 22  # 64-bit words of the bit filter at most: 32 MB
-STEP = 8_000_000  # bytes of text handled together
+STEP = 2_000_000  # bytes of text handled together
 SALTS = 64
 
 # bytes of a text as pieces and words see them: lower case, and one mark for all piece ends
