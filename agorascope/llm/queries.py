@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorascope.llm import dac, decontaminate, line_frequency, line_join, minhash, packing, phrases, secrets, separators, substrings, tokens, turns, wrappers
+from agorascope.llm import countrtree, dac, decontaminate, line_frequency, line_join, minhash, packing, phrases, secrets, separators, substrings, tokens, turns, wrappers
 from agorascope.llm.store import table, written
 
 
@@ -69,6 +69,10 @@ def op12_phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return countrtree.components_of(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +88,7 @@ QUERIES = {
         op10_fm_index,
         op11_turn_repair,
         op12_phrase_counts,
+        op13_count_rtree,
     )
 }
 
@@ -227,4 +232,32 @@ cut AS (
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM kept JOIN total USING (lang)
 QUALIFY rank <= 2000""",
+    "op13_count_rtree": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [hash(words)]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda i: hash(words[i:i + 4])))) END AS items
+  FROM w
+), uniq AS (SELECT min(doc_id) AS node, items FROM sets WHERE len(items) > 0 GROUP BY items),
+item AS (
+  SELECT node, n, item, row_number() OVER (PARTITION BY node ORDER BY f, item) AS place
+  FROM (SELECT node, len(items) AS n, unnest(items) AS item FROM uniq)
+  JOIN (SELECT item, count(*) AS f FROM (SELECT unnest(items) AS item FROM uniq) GROUP BY item) USING (item)
+), head AS (SELECT * FROM item WHERE place <= n - ceil(0.8 * n) + 1),
+pair AS (
+  SELECT DISTINCT a.node AS a, b.node AS b FROM head a JOIN head b ON a.item = b.item AND a.node < b.node
+    AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+), link AS (
+  SELECT a, b FROM pair JOIN uniq x ON x.node = a JOIN uniq y ON y.node = b
+  WHERE 180 * len(list_intersect(x.items, y.items)) >= 80 * (len(x.items) + len(y.items))
+), edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(node, low) AS (
+  SELECT node, node FROM uniq
+  UNION
+  SELECT e.b, r.low FROM reach r JOIN edge e ON r.node = e.a WHERE r.low < e.b
+), least AS (SELECT node, min(low) AS component FROM reach GROUP BY node)
+SELECT s.doc_id, len(s.items)::BIGINT AS n_shingles, coalesce(component, s.doc_id) AS component_id
+FROM sets s LEFT JOIN uniq USING (items) LEFT JOIN least USING (node)""",
 }
