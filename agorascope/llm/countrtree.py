@@ -37,7 +37,7 @@ PERCENT = 80
 GROUPS = 128
 LEAF, FAN = 32, 16  # points of a page, pages of a node
 TABLE_BITS = 20
-POINTS, SETS = 8192, 1024  # of a unit: points alone, and sets with their texts
+POINTS, SHINGLES = 8192, 1 << 19  # of a unit: points alone, and shingles of sets with their texts
 FULL = (1 << 16) - 1  # a count that was cut off: no bound
 STEP = 2_000_000
 
@@ -131,6 +131,16 @@ def _verifier(values: np.ndarray, first: np.ndarray, percent: int = PERCENT) ->
     return similar
 
 
+def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets of texts, a slice at a time."""
+    values, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for _, column in slices(texts, STEP):
+        found, first = shingle_sets(column)
+        values.append(found)
+        sizes.append(np.diff(first))
+    return np.concatenate(values), np.cumsum(np.concatenate(sizes))
+
+
 EDGES = "a long, b long"
 
 
@@ -153,7 +163,7 @@ def _units(exact: bool):
                     part, node, label, side = part.take(pa.array(one)), node[one], label[one], side[one]
                 payload = part.column("payload").combine_chunks()
                 if exact:
-                    values, first = shingle_sets(payload.cast(pa.large_string()))
+                    values, first = _sets(payload)
                     after = linked(np.diff(first), points(values, first), label, side == 0, _verifier(values, first))
                 else:
                     flat = np.frombuffer(b"".join(payload.to_pylist()), np.uint16).reshape(len(node), -1)
@@ -168,8 +178,8 @@ def _units(exact: bool):
 
 
 def forests(members: DataFrame, payload: DataFrame, exact: bool, limit: int) -> DataFrame:
-    """Edges (a, b) that connect what is linked within each group of ``members`` (grp, node);
-    ``payload``: (node, n, payload). ``limit``: sets of a unit."""
+    """Edges (a, b) that connect what is linked within each group of ``members`` (grp, node, weight);
+    ``payload``: (node, n, payload). ``limit``: weight of a unit; a set of more is a unit's only one or so."""
 
     def solved(units: DataFrame) -> DataFrame:
         return (
@@ -177,24 +187,25 @@ def forests(members: DataFrame, payload: DataFrame, exact: bool, limit: int) ->
             .sortWithinPartitions("unit").mapInArrow(_units(exact), EDGES)
         )
 
-    sizes = written(members.groupBy("grp").count().where("count > 1"), "group-sizes")
+    weighed = members.groupBy("grp").agg(F.count("*").alias("count"), F.sum("weight").alias("total")).where("count > 1")
+    sizes = written(weighed.select("grp", "total"), "group-sizes")
     sized = members.join(small(sizes), "grp")
     spread = lambda n, *salt: F.pmod(F.xxhash64("node", *salt), F.ceil(n / F.lit(limit)))
-    salts = F.when(F.col("count") > limit, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    salts = F.when(F.col("total") > limit, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     first = sized.withColumn("salt", F.explode(salts)).select(
-        F.xxhash64("grp", "salt", spread(F.col("count"), "salt")).alias("unit"), F.lit(0).alias("side"), "node", F.col("node").alias("label")
+        F.xxhash64("grp", "salt", spread(F.col("total"), "salt")).alias("unit"), F.lit(0).alias("side"), "node", F.col("node").alias("label")
     )
     edges = written(solved(first), "unit-edges")
-    large = sizes.where(F.col("count") > limit)
+    large = sizes.where(F.col("total") > limit)
     if large.isEmpty():
         return edges
     known = components(edges)
     whole = members.join(small(large), "grp").join(known, "node", "left")
-    whole = written(whole.select("grp", "node", F.coalesce("component", "node").alias("label")), "large-groups")
-    parts = whole.groupBy("grp", "label").count().groupBy("grp").agg(
-        F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("most")
+    whole = written(whole.select("grp", "node", "weight", F.coalesce("component", "node").alias("label")), "large-groups")
+    parts = whole.groupBy("grp", "label").agg(F.sum("weight").alias("w")).groupBy("grp").agg(
+        F.sum("w").alias("n"), F.max(F.struct("w", "label")).alias("most")
     )
-    parts = parts.select("grp", "n", F.col("most.label").alias("main"), (F.col("n") - F.col("most.count")).alias("rest")).where("rest > 0")
+    parts = parts.select("grp", "n", F.col("most.label").alias("main"), (F.col("n") - F.col("most.w")).alias("rest")).where("rest > 0")
     whole = whole.join(small(written(parts, "large-rests")), "grp")
     blocks = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / F.lit(limit)) - 1))
     asking = whole.where("label != main").select(
@@ -305,7 +316,7 @@ def _point_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def components_of(docs: DataFrame, points_of_unit: int = POINTS, sets_of_unit: int = SETS) -> DataFrame:
+def components_of(docs: DataFrame, points_of_unit: int = POINTS, shingles_of_unit: int = SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
     A set: the distinct 5-word shingles of the lower-cased (A-Z) text, the whole sequence if it has
@@ -320,7 +331,7 @@ def components_of(docs: DataFrame, points_of_unit: int = POINTS, sets_of_unit: i
     has_set = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     found = sketched.where("slot IS NULL").select("doc_id", "n_shingles", F.when(has_set, F.col("set_key")).alias("set_key"))
     counted = found.where("set_key IS NOT NULL")
-    sets = written(counted.groupBy("set_key").agg(F.min("doc_id").alias("least")), "distinct-sets")
+    sets = written(counted.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n")), "distinct-sets")
     nodes = small(sets.select(F.col("least").alias("node")).distinct())
     texts = docs.withColumnRenamed("doc_id", "node").join(nodes, "node")
     routed = texts.select("node", "text").mapInArrow(_route(common), "bucket long, node long")
@@ -328,12 +339,15 @@ def components_of(docs: DataFrame, points_of_unit: int = POINTS, sets_of_unit: i
     members = written(ordered.mapInArrow(_buckets, "grp long, node long").distinct(), "buckets")
     used = small(written(members.select("node").distinct(), "used"))
     vectors = texts.join(used, "node").select("node", "text").mapInArrow(_point_rows, "node long, n long, payload binary")
+    members = members.withColumn("weight", F.lit(1).cast("long"))
     clusters = written(components(forests(members, written(vectors, "points"), False, points_of_unit)), "set-clusters")
     again = texts.join(small(clusters.select("node")), "node")
     again = again.select("node", F.lit(0).cast("long").alias("n"), F.col("text").alias("payload"))
-    links = forests(clusters.select(F.col("component").alias("grp"), "node"), again, True, sets_of_unit)
+    weights = sets.groupBy(F.col("least").alias("node")).agg(F.sum("n").alias("weight"))
+    clusters = clusters.join(weights, "node").select(F.col("component").alias("grp"), "node", "weight")
+    links = forests(clusters, again, True, shingles_of_unit)
     # a document of several texts links them
-    placed = written(found.join(sets, "set_key", "left"), "placed")
+    placed = written(found.join(sets.select("set_key", "least"), "set_key", "left"), "placed")
     several = placed.where("least IS NOT NULL").groupBy("doc_id").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b")
     linked_sets = components(links.unionByName(several.select("a", "b")))
     out = placed.join(linked_sets.withColumnRenamed("node", "least"), "least", "left")

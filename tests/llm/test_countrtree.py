@@ -46,10 +46,10 @@ def test_fixture(docs, fixture_rows):
     assert found(countrtree.components_of(docs)) == plain(fixture_rows)
 
 
-@pytest.mark.parametrize("points, sets", [(8192, 1024), (7, 5)])
-def test_families_in_units_of_any_size(table, points, sets):
+@pytest.mark.parametrize("points, shingles", [(8192, 1 << 19), (7, 900)])
+def test_families_in_units_of_any_size(table, points, shingles):
     rows = variants()
-    got = found(countrtree.components_of(table(rows), points, sets))
+    got = found(countrtree.components_of(table(rows), points, shingles))
     assert got == plain(rows) and 6 < len({c for *_, c in got}) < 120
 
 
