@@ -34,7 +34,7 @@ from agorascope.llm.minhash import _groups, _stars, shingle_sets, slices
 from agorascope.llm.store import small, written
 
 PERCENT = 80
-GROUPS = 128
+GROUPS, PER_GROUP = 128, 8
 LEAF, FAN = 32, 16  # points of a page, pages of a node
 TABLE_BITS = 20
 POINTS, SHINGLES = 8192, 1 << 19  # of a unit: points alone, and shingles of sets with their texts
@@ -52,6 +52,35 @@ def points(values: np.ndarray, first: np.ndarray, groups: int = GROUPS) -> np.nd
     return np.bincount(own * groups + group, minlength=n * groups).reshape(n, groups).clip(max=FULL).astype(np.uint16)
 
 
+def fine_points(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The point of each set over four times as many groups for each four-fold size over PER_GROUP
+    shingles a group: over few groups, large sets of nothing in common look alike."""
+    size = np.diff(first)
+    level = np.ceil(np.log2(np.maximum(size, 1) / (PER_GROUP * GROUPS)) / 2).clip(0).astype(int)
+    out: list = [None] * len(size)
+    for k in np.unique(level).tolist():
+        own = np.flatnonzero(level == k)
+        picked = values[np.repeat(level == k, size)]
+        found = points(picked, np.concatenate([[0], np.cumsum(size[own])]), GROUPS << 2 * k)
+        for i, counts in zip(own.tolist(), found):
+            out[i] = counts
+    return out
+
+
+def _folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The same point over fewer groups."""
+    return counts if len(counts) == groups else _open(counts).reshape(groups, -1).sum(1)
+
+
+def _bound(sizes: np.ndarray, fine: list[np.ndarray], percent: int = PERCENT) -> Callable[[int, int], bool]:
+    def similar(i: int, j: int) -> bool:
+        groups = min(len(fine[i]), len(fine[j]))
+        shared = int(np.minimum(_open(_folded(fine[i], groups)), _open(_folded(fine[j], groups))).sum())
+        return (100 + percent) * shared >= percent * int(sizes[i] + sizes[j])
+
+    return similar
+
+
 def _open(counts: np.ndarray) -> np.ndarray:
     out = counts.astype(np.int32)
     out[counts == FULL] = 1 << 24
@@ -166,8 +195,9 @@ def _units(exact: bool):
                     values, first = _sets(payload)
                     after = linked(np.diff(first), points(values, first), label, side == 0, _verifier(values, first))
                 else:
-                    flat = np.frombuffer(b"".join(payload.to_pylist()), np.uint16).reshape(len(node), -1)
-                    after = linked(part.column("n").to_numpy(), flat, label, side == 0)
+                    sizes, fine = part.column("n").to_numpy(), [np.frombuffer(p, np.uint16) for p in payload.to_pylist()]
+                    flat = np.stack([_folded(p, GROUPS).clip(max=FULL) for p in fine]).astype(np.uint16)
+                    after = linked(sizes, flat, label, side == 0, _bound(sizes, fine) if max(map(len, fine)) > GROUPS else None)
                 least, other = _stars(node, after)
                 a.append(least)
                 b.append(other)
@@ -309,7 +339,7 @@ def _point_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, column in slices(batch.column("text"), STEP):
             values, first = shingle_sets(column)
-            found = points(values, first)
+            found = fine_points(values, first)
             yield pa.record_batch(
                 [batch.column("node").slice(row, len(column)), pa.array(np.diff(first).astype(np.int64)), pa.array([p.tobytes() for p in found], pa.binary())],
                 names=["node", "n", "payload"],
@@ -339,12 +369,13 @@ def components_of(docs: DataFrame, points_of_unit: int = POINTS, shingles_of_uni
     members = written(ordered.mapInArrow(_buckets, "grp long, node long").distinct(), "buckets")
     used = small(written(members.select("node").distinct(), "used"))
     vectors = texts.join(used, "node").select("node", "text").mapInArrow(_point_rows, "node long, n long, payload binary")
-    members = members.withColumn("weight", F.lit(1).cast("long"))
+    weights = written(sets.groupBy(F.col("least").alias("node")).agg(F.sum("n").alias("weight")), "weights")
+    a_point = F.ceil(F.col("weight") / F.lit(PER_GROUP * GROUPS))
+    members = members.join(small(weights), "node").withColumn("weight", a_point)
     clusters = written(components(forests(members, written(vectors, "points"), False, points_of_unit)), "set-clusters")
     again = texts.join(small(clusters.select("node")), "node")
     again = again.select("node", F.lit(0).cast("long").alias("n"), F.col("text").alias("payload"))
-    weights = sets.groupBy(F.col("least").alias("node")).agg(F.sum("n").alias("weight"))
-    clusters = clusters.join(weights, "node").select(F.col("component").alias("grp"), "node", "weight")
+    clusters = clusters.join(small(weights), "node").select(F.col("component").alias("grp"), "node", "weight")
     links = forests(clusters, again, True, shingles_of_unit)
     # a document of several texts links them
     placed = written(found.join(sets.select("set_key", "least"), "set_key", "left"), "placed")

@@ -118,3 +118,20 @@ def test_prefixes_meet():
                 found, doc = countrtree.prefixes(np.concatenate([a, b]), np.array([0, n, n + m]), common)
                 assert set(found[doc == 0].tolist()) & set(found[doc == 1].tolist())
             assert shared <= n
+
+
+def test_finer_points_still_bound():
+    """Points over any number of groups bound what two sets share, and large strangers apart."""
+    r = np.random.default_rng(11)
+    big = np.unique(r.integers(0, 1 << 63, 9000).astype(np.uint64))
+    near = np.unique(np.concatenate([big[: int(len(big) * 0.93)], r.integers(0, 1 << 63, 300).astype(np.uint64)]))
+    small = np.unique(big[:950])
+    other = np.unique(r.integers(0, 1 << 63, 9000).astype(np.uint64))
+    sets = [big, near, small, other]
+    sizes = np.array([len(s) for s in sets])
+    fine = countrtree.fine_points(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
+    assert [len(f) for f in fine] == [2048, 2048, 128, 2048] and [int(f.sum()) for f in fine] == sizes.tolist()
+    may = countrtree._bound(sizes, fine)
+    assert may(0, 1) and may(0, 0) and not may(0, 3) and not may(0, 2)
+    coarse = countrtree.points(np.concatenate([big, other]), np.array([0, len(big), len(big) + len(other)]))
+    assert (countrtree._folded(fine[0], 128) == coarse[0]).all()
