@@ -401,4 +401,23 @@ ORACLES = {
     "results_nested": sql("""SELECT 'scores' AS config, 'BCE' AS loss, metric, round(value, 6) + 0.0 AS value FROM results"""),
     "experiment_grid": sql(f"""SELECT g.*, s.fit, s.split, s.messages FROM ({GRID}) g
         CROSS JOIN (SELECT fit, split, count(*) AS messages FROM rows_ GROUP BY fit, split) s"""),
+    "gradient_step": sql(f"""SELECT m.fit, m.input, s.tag_pos, {r('share * mean - coalesce(xy, 0) / n', 'gradient')}
+        FROM input_means m JOIN tag_shares s ON s.fit = m.fit
+        LEFT JOIN products p ON p.fit = m.fit AND p.input = m.input AND p.tag_pos = s.tag_pos""", [
+        ("cells", f"""SELECT w.fit, w.message_id, u.input, u.x FROM rows_ w JOIN vectors v USING (message_id),
+          LATERAL (SELECT unnest(range(0, {D} + 1))::INTEGER AS input, unnest(list_concat(v.embedding, [1.0]))::FLOAT::DOUBLE AS x) u
+          WHERE w.split = 'train'"""),
+        ("input_means", "SELECT fit, input, avg(x) AS mean, count(*) AS n FROM cells GROUP BY fit, input"),
+        ("tagged", f"SELECT fit, message_id, unnest(range(0, {N}))::INTEGER AS tag_pos, unnest(tags) AS y FROM rows_ WHERE split = 'train'"),
+        ("tag_shares", "SELECT fit, tag_pos, avg(y) AS share FROM tagged GROUP BY fit, tag_pos"),
+        ("products", """SELECT c.fit, c.input, t.tag_pos, sum(c.x) AS xy FROM cells c JOIN tagged t
+          ON t.fit = c.fit AND t.message_id = c.message_id AND t.y = 1 GROUP BY c.fit, c.input, t.tag_pos"""),
+    ]),
+    "score_fixed_weights": sql(f"""SELECT message_id, fit AS fold, tag_pos, y, {r('1 / (1 + exp(-z))', 'p')} FROM (
+          SELECT w.message_id, w.fit, c.tag_pos, any_value(w.tags[c.tag_pos + 1])::INTEGER AS y,
+            sum(u.x * ((u.input * 7 + c.tag_pos * 3 + w.fit) % 11 - 5) / 10.0) AS z
+          FROM rows_ w JOIN vectors v USING (message_id),
+          LATERAL (SELECT unnest(range(0, {D} + 1))::INTEGER AS input, unnest(list_concat(v.embedding, [1.0]))::FLOAT::DOUBLE AS x) u,
+          (SELECT unnest(range(0, {N}))::INTEGER AS tag_pos) c WHERE w.split = 'test'
+          GROUP BY w.message_id, w.fit, c.tag_pos)"""),
 }

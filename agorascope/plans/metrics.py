@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scaling import ratio_or_zero
 from ..schema import TAG_CATEGORY, TAGS
+from ..settings import stage
 
 EPSILON = 1e-7  # fixed value: scores are clipped to [EPSILON, 1 - EPSILON] before the logarithm
 METRICS = ["Loss", "Accuracy", "Macro F1-score", "Weighted F1-score"]
@@ -117,22 +118,63 @@ def binary_accuracy(scores: DataFrame, keys: list[str] = ("fold",), threshold: f
     return binarize(scores, threshold).groupBy(*keys).agg(F.avg(same).alias("binary_accuracy"))
 
 
-def fold_metrics(scores: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """(keys, fold, loss, accuracy, macro_f1, weighted_f1)."""
+def tag_statistics(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """(keys, fold, tag_pos, tp, found, support, n, loss, hits, messages): sums that all metrics follow
+    from, in one pass over ``rows`` (keys, fold, v), where v is a message's array of (tag_pos, y, p).
+
+    hits counts messages whose highest score is at the first set tag, messages all of them; both
+    stand with the message's first tag, so that sums over the tags count a message once.
+    """
+    best = lambda c: F.expr(f"array_max(transform(v, x -> named_struct('value', x.{c}, 'at', -x.tag_pos))).at")
+    tall = rows.select(*keys, "fold", (best("y") == best("p")).cast("long").alias("hit"), F.posexplode("v").alias("place", "x"))
+    y, z = F.col("x.y").cast("long"), (F.col("x.p") > 0.5).cast("long")
+    first = F.col("place") == 0
+    return tall.groupBy(*keys, "fold", F.col("x.tag_pos").alias("tag_pos")).agg(
+        F.sum(y * z).alias("tp"), F.sum(z).alias("found"), F.sum(y).alias("support"), F.count("*").alias("n"),
+        F.sum(bce(F.col("x.y"), F.col("x.p"))).alias("loss"),
+        F.sum(F.when(first, F.col("hit")).otherwise(0)).alias("hits"), F.sum(first.cast("long")).alias("messages"),
+    )
+
+
+def by_message(scores: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """A long score table as one row per message, for tag_statistics."""
+    values = F.array_sort(F.collect_list(F.struct("tag_pos", "y", "p")))  # one element per tag
+    return scores.groupBy(*keys, "fold", "message_id").agg(values.alias("v"))
+
+
+def statistics_prf(stats: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """What tag_prf gives, from tag_statistics."""
+    tp, found, support = (F.col(c).cast("double") for c in ("tp", "found", "support"))
+    return stats.select(
+        *keys, "fold", "tag_pos", ratio_or_zero(tp, found).alias("precision"), ratio_or_zero(tp, support).alias("recall"),
+        ratio_or_zero(2.0 * tp, found + support).alias("f1"), "support",
+    )
+
+
+def fold_metrics_of(stats: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """(keys, fold, loss, accuracy, macro_f1, weighted_f1) from tag_statistics."""
     per_fold = [*keys, "fold"]
-    prf = tag_prf(scores, per_fold)
-    return (
-        overall_f1(prf, per_fold)
-        .join(bce_loss(scores, per_fold), per_fold)
-        .join(argmax_accuracy(scores, per_fold), per_fold)
+    sums = stats.groupBy(*per_fold).agg(
+        (F.sum("loss") / F.sum("n")).alias("loss"), (F.sum("hits") / F.sum("messages")).alias("accuracy")
     )
+    return overall_f1(statistics_prf(stats, keys), per_fold).join(sums, per_fold)
+
+
+def fold_metrics(scores: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """(keys, fold, loss, accuracy, macro_f1, weighted_f1); the scores are read once."""
+    return fold_metrics_of(stage(tag_statistics(by_message(scores, keys), keys)), keys)
 
 
 def results(scores: DataFrame, keys: list[str] = (), tags: list[str] = TAGS) -> DataFrame:
     """(keys, metric, value): everything that is reported, averaged over the folds."""
+    return results_of(stage(tag_statistics(by_message(scores, keys), keys)), list(keys), tags)
+
+
+def results_of(stats: DataFrame, keys: list[str] = (), tags: list[str] = TAGS) -> DataFrame:
+    """The same from tag_statistics, a row per fold and tag."""
     keys = list(keys)
     names = dict(zip(["loss", "accuracy", "macro_f1", "weighted_f1"], METRICS))
-    over_folds = fold_metrics(scores, keys).groupBy(*keys).agg(
+    over_folds = fold_metrics_of(stats, keys).groupBy(*keys).agg(
         *[F.avg(c).alias(c) for c in names]
     )
     overall = over_folds.select(
@@ -141,7 +183,7 @@ def results(scores: DataFrame, keys: list[str] = (), tags: list[str] = TAGS) ->
             F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for c, m in names.items()])
         ).alias("r"),
     ).select(*keys, "r.*")
-    weights = tag_weights(tag_prf(scores, [*keys, "fold"]), [*keys, "fold"], tags)
+    weights = tag_weights(statistics_prf(stats, keys), [*keys, "fold"], tags)
     by_category = category_f1(weights, keys).select(
         *keys,
         F.explode(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.embedding import hashed_counts, hashed_embedding
@@ -22,7 +23,7 @@ from .operators.profile import (
     raw_profile, with_tags,
 )
 from .operators.skew import ranged, running
-from .plans import experiment, metrics
+from .plans import classifier, experiment, metrics
 from .plans.design import Design, behaviour_names, spread
 from .schema import ANNOTATED_TAGS, CSV_SCHEMA, N_FOLDS, SCALED, TAGS, profile_columns
 from .settings import ensure_checkpoint_dir, stage
@@ -498,12 +499,34 @@ def tag_scores(spark, sf):
     return experiment.tag_scores(d, "combined", d.embeddings)
 
 
+def _own_inputs(spark, sf):
+    """(fit, split, message_id, inputs, y): each message's stored embedding and its tags."""
+    d = _design(spark, sf, True)
+    now = d.embeddings.select("message_id", F.col("embedding").cast("array<float>").alias("inputs"))
+    labels = d.corpus.columns("message_id", "tags").withColumnRenamed("tags", "y")
+    return d.rows.select("fit", "split", "message_id").join(now, "message_id").join(labels, "message_id")
+
+
+def gradient_step(spark, sf):
+    """The classifier's first gradient: at the weights that training starts from."""
+    train = stage(_own_inputs(spark, sf).where("split = 'train'"))
+    return _rounded(classifier.gradient_rows(train, 64, len(TAGS)), ["gradient"])
+
+
+def score_fixed_weights(spark, sf):
+    """Out-of-fold scores by weights that a formula gives."""
+    i, t = np.arange(65)[:, None], np.arange(len(TAGS))[None, :]
+    weights = {fit: ((i * 7 + t * 3 + fit) % 11 - 5) / 10.0 for fit in range(N_FOLDS)}
+    test = _own_inputs(spark, sf).where("split = 'test'")
+    return _rounded(classifier.score(test, weights, 64, len(TAGS)), ["p"])
+
+
 def cv_results(spark, sf):
     """The whole grid: both text encoders for the message and for the user."""
     stored = _design(spark, sf, True)
     texts = benchmark_messages(spark, sf).select("message_id", "text")
     hashed = stage(hashed_embedding(texts, "message_id"))
-    designs = {"stored": stored, "hashed": Design(stored.corpus, hashed)}
+    designs = {"stored": stored, "hashed": Design(stored.corpus, hashed, folds=stored.folds)}
     return experiment.evaluate(designs, {"stored": stored.embeddings, "hashed": hashed})
 
 
@@ -573,5 +596,7 @@ QUERIES = {
     "metric_report": metric_report,
     "experiment_grid": experiment_grid,
     "tag_scores": tag_scores,
+    "gradient_step": gradient_step,
+    "score_fixed_weights": score_fixed_weights,
     "cv_results": cv_results,
 }

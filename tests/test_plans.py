@@ -222,6 +222,50 @@ def test_gradients_meet_in_levels(spark, monkeypatch):
     assert weights[0] == pytest.approx(start - 0.1 * grad / (np.abs(grad) + 1e-8), abs=1e-6)
 
 
+def test_models_together_are_models_alone(spark):
+    """One pass for many models gives each the weights and scores it gets alone."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(120):
+        a, b = rng.normal(size=3), rng.normal(size=2)
+        who = [int(rng.integers(5)), int(rng.integers(-1, 5))]
+        rows.append((i % 3, i, [float(v) for v in a], [float(v) for v in b], who, [int(a[0] + b[0] > 0), int(who[0] == 2)]))
+    df = spark.createDataFrame(
+        rows, "fit int, message_id long, a array<double>, b array<double>, ids array<int>, y array<int>"
+    ).repartition(4)
+    models = [
+        classifier.Model("wide", ("a", "b")), classifier.Model("own", ("b",), True),
+        classifier.Model("turned", ("b", "a")), classifier.Model("both", ("a",), True),
+    ]
+    weights, authors = classifier.fit(df, {"a": 3, "b": 2}, 2, 2, 4, 0.3, models)
+    got = {
+        (r.model, r.message_id): (r.fold, list(r.y), list(r.p))
+        for r in classifier.score_rows(df, weights, {"a": 3, "b": 2}, 2, 2, authors, models).collect()
+    }
+    assert len(got) == 480
+    for m, one in enumerate(models):
+        alone = df.withColumn("inputs", F.concat(*one.blocks))
+        n_ids, d = (2 if one.sparse else 0), {"wide": 5, "own": 2, "turned": 5, "both": 3}[one.name]
+        w, own = classifier.fit(alone, d, 2, n_ids, 4, 0.3)
+        for k in w:
+            assert weights[k][m] == pytest.approx(w[k], abs=1e-9)
+        for r in classifier.score_rows(alone, w, d, 2, n_ids, own).collect():
+            fold, y, p = got[one.name, r.message_id]
+            assert (fold, y) == (r.fold, list(r.y)) and p == pytest.approx(list(r.p), abs=1e-9)
+
+
+def test_metrics_in_one_pass(spark):
+    """All metrics from one row per fold and tag, and from one scan of the scores."""
+    _, df = scores(spark, 7)
+    got = {r.fold: r for r in metrics.fold_metrics(df).collect()}
+    prf = metrics.tag_prf(df)
+    for want in metrics.overall_f1(prf).join(metrics.bce_loss(df), "fold").join(metrics.argmax_accuracy(df), "fold").collect():
+        for name in ("macro_f1", "weighted_f1", "loss", "accuracy"):
+            assert got[want.fold][name] == pytest.approx(want[name], abs=1e-12)
+    plan = metrics.tag_statistics(metrics.by_message(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
 def test_text_embeddings(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, "b a a")], "id long, text string")
     got = {r["id"]: r["embedding"] for r in hashed_embedding(df, "id", 16).collect()}
