@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..settings import DEFAULT_LIMITS, Limits, cut
+from ..settings import DEFAULT_LIMITS, Limits, cut, stage
 
 
 def lookup_join(
@@ -17,34 +17,32 @@ def lookup_join(
 ) -> DataFrame:
     """Join `probe` to `table`, which has at most one row per key.
 
-    A key is hot when more than `max(hot_rows, rows / max_hot_keys)` probe rows carry it, so
-    there are at most `max_hot_keys` of them.  Their table rows are broadcast (at most that
-    many), and the other keys go through an ordinary join.  `rows` is an upper bound of the
-    number of probe rows; below the threshold no key can be hot and the check is skipped.
+    A key is hot when more than `max(hot_rows, rows / max_hot_keys)` probe rows carry it, so there
+    are at most `max_hot_keys` of them.  Their probe rows are dealt over salts and their table rows
+    repeated for each salt, so there is one join, and one plan, with and without hot keys: the
+    probe is computed once, written, and only its keys are read again to be counted.  Rows without a
+    key match nothing and are dealt over salts too.  `rows` is an upper bound of the number of probe
+    rows; below the threshold no key can be hot and the check is skipped.
     """
     threshold = max(limits.hot_rows, rows // limits.max_hot_keys)
     if rows <= threshold:
         return probe.join(table, on, how)
+    probe = stage(probe)
     known = F.lit(True)
     for key in on:
         known = known & F.col(key).isNotNull()
-    hot = (
-        probe.where(known).groupBy(*on).count().where(F.col("count") > threshold).select(*on)
-    )
+    counts = probe.where(known).groupBy(*on).agg(F.ceil(F.count("*") / threshold).alias("_salts"))
+    hot = counts.where(F.col("_salts") > 1)
     keys = hot.collect()  # at most max_hot_keys rows
-    if not keys:
-        hot_part, rest = None, probe.where(known)
-    else:
-        hot = F.broadcast(probe.sparkSession.createDataFrame(keys, hot.schema))
-        hot_table = F.broadcast(table.join(hot, on, "left_semi"))
-        hot_part = probe.join(hot, on, "left_semi").join(hot_table, on, how)
-        rest = probe.where(known).join(hot, on, "left_anti")
-    out = rest.join(table, on, how)
-    if hot_part is not None:
-        out = out.unionByName(hot_part)
-    if how == "left":  # rows without a key match nothing; keep them out of the shuffle
-        out = out.unionByName(probe.where(~known), allowMissingColumns=True)
-    return out
+    hot = F.broadcast(probe.sparkSession.createDataFrame(keys, hot.schema))
+    salts = F.when(~known, F.lit(-(-rows // threshold))).otherwise(F.coalesce("_salts", F.lit(1)))
+    # the number of a row within a written file does not change when a task is repeated
+    dealt = probe.withColumn("_row", F.monotonically_increasing_id()).join(hot, on, "left")
+    dealt = dealt.withColumn("_salt", F.col("_row") % salts).drop("_row", "_salts")
+    spread = table.join(hot, on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)).cast("long") - 1))
+    ).drop("_salts")
+    return dealt.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
 def ranged(df: DataFrame, *order: str) -> DataFrame:

@@ -303,6 +303,17 @@ ORACLES = {
     "scan_messages": sql("SELECT message_id, node_id, tree_id, parent, author, ts, md5(text) AS text_md5 FROM msgs"),
     "scan_csv": sql(f"""SELECT message_id, tree_id::VARCHAR AS tree_id, parent, author, ts, md5(text) AS text_md5,
         {commas(f'tags[{i + 1}] AS {q(t)}' for i, t in enumerate(TAGS))} FROM msgs"""),
+    "csv_tree_profile": sql(f"SELECT message_id, author, {flat()} FROM tree"),
+    "ingest_faults": sql("""SELECT (SELECT count(*) FROM hurt) AS rows, (SELECT count(*) FROM hurt WHERE message_id IS NULL) AS no_id,
+        (SELECT count(*) FROM (SELECT message_id FROM hurt WHERE message_id IS NOT NULL GROUP BY message_id HAVING count(*) > 1)) AS repeated_ids,
+        (SELECT count(*) FROM hurt WHERE parent IS NULL) AS no_parent,
+        (SELECT count(*) FROM hurt c WHERE parent <> -1 AND NOT EXISTS (SELECT 1 FROM hurt p WHERE p.message_id = c.parent)) AS lost_parents,
+        (SELECT count(*) FROM hurt c WHERE parent <> -1 AND EXISTS (SELECT 1 FROM hurt p WHERE p.message_id = c.parent)
+          AND NOT EXISTS (SELECT 1 FROM hurt p WHERE p.message_id = c.parent AND p.tree_id = c.tree_id)) AS foreign_parents""", [
+        ("hurt", """SELECT CASE WHEN message_id % 23 <> 0 THEN message_id END AS message_id,
+            tree_id + (message_id % 19 = 0)::INTEGER AS tree_id, CASE WHEN message_id % 17 <> 0 THEN parent END AS parent,
+            unnest(CASE WHEN message_id % 13 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM msgs WHERE message_id % 11 <> 0"""),
+    ]),
     "word_count": sql("SELECT doc_id, words AS word_count FROM docs"),
     "untagged_flag": sql(f"SELECT message_id, tags[{N}] AS untagged FROM msgs"),
     "label_matrix": sql(f"SELECT message_id, {commas(f'tags[{i + 1}] AS {q(t)}' for i, t in enumerate(TAGS))} FROM msgs"),
@@ -384,6 +395,7 @@ ORACLES = {
         JOIN fit_mean_default d ON d.fit = x.fit JOIN vectors v ON v.message_id = x.message_id""", EMBEDDING_CTES),
     "author_one_hot": sql("""SELECT message_id, author_idx FROM msgs JOIN (SELECT author,
         row_number() OVER (ORDER BY author) - 1 AS author_idx FROM (SELECT DISTINCT author FROM msgs WHERE author IS NOT NULL)) USING (author)"""),
+    "feature_store_resume": sql(f"SELECT fit, split, message_id, {commas(r(c, c) for c in XS)} FROM x", EMBEDDING_CTES),
     "feature_store_roundtrip": sql(f"SELECT fit AS fold, author, {flat()} FROM fit_forum"),
     "binarize_scores": sql("SELECT message_id, tag_pos, (p > 0.5)::INTEGER AS predicted FROM long"),
     "tag_support": sql("SELECT tag_pos, sum(y)::BIGINT AS support FROM long GROUP BY tag_pos"),

@@ -13,9 +13,11 @@ from ..operators.profile import default_profile, forum_profile, message_profiles
 from ..operators.skew import lookup_join
 from ..schema import N_FOLDS, NO_PARENT, profile_columns
 from ..settings import stage
+from ..sources.store import FeatureStore
 
 LEVELS = ["forum", "tree", "branch"]
 METHODS = ["behaviour", "embedding", "combined"]
+MATRIX = "fit int, split string, message_id long, features array<float>"
 
 
 def as_vector(tags: Column = None) -> Column:
@@ -40,13 +42,15 @@ class Design:
 
     def __init__(
         self, corpus: Corpus, embeddings: DataFrame | None = None, n_folds: int = N_FOLDS,
-        folds: DataFrame | None = None,
+        folds: DataFrame | None = None, store: FeatureStore | None = None,
     ):
         self.corpus = corpus
         self.embeddings = embeddings
         self.n_folds = n_folds
         self._folds = folds
         self._matrices: dict[str, DataFrame] = {}
+        # a store of this corpus, embeddings and folds: matrices in it are read, others are added
+        self.store = store
 
     @cached_property
     def folds(self) -> DataFrame:
@@ -174,7 +178,12 @@ class Design:
         if method not in METHODS:
             raise ValueError(f"unknown method {method!r}")
         if method not in self._matrices:
-            self._matrices[method] = stage(getattr(self, method))
+            if self.store is None:
+                found = stage(getattr(self, method))
+            else:
+                keys = {"method": method, "fold": f"all_{self.n_folds}", "level": "all", "split": "all"}
+                found = self.store.get_or_compute(keys, lambda: getattr(self, method), MATRIX)
+            self._matrices[method] = found
         return self._matrices[method]
 
     # --- last user ------------------------------------------------------------------------
@@ -195,18 +204,15 @@ class Design:
     @cached_property
     def last_user(self) -> DataFrame:
         """(fit, split, message_id, last_user): parent within the same split, else -1."""
-        table = self.rows.select("fit", "split", F.col("message_id").alias("parent"), F.lit(True).alias("found"))
-        asked = self.rows.where(F.col("parent") != NO_PARENT).select("fit", "split", "message_id", "parent")
-        linked = lookup_join(
-            asked, table, ["fit", "split", "parent"], self.n_rows, "left", self.corpus.limits
-        ).select(
+        # one look-up per message; what the parent's split is in each fit follows from its fold
+        messages = self.placed.select("message_id", "parent", "fold")
+        parents = self.placed.select(F.col("message_id").alias("parent"), F.col("fold").alias("parent_fold"))
+        linked = lookup_join(messages, parents, ["parent"], self.corpus.rows, "left", self.corpus.limits)
+        same = (F.col("parent_fold") == F.col("fit")) == (F.col("fold") == F.col("fit"))
+        return fits(linked, self.n_folds).select(
             "fit", "split", "message_id",
-            F.when(F.col("found"), F.col("parent")).otherwise(NO_PARENT).alias("last_user"),
+            F.when(same, F.col("parent")).otherwise(F.lit(NO_PARENT)).cast("long").alias("last_user"),
         )
-        first = self.rows.where(F.col("parent").isNull() | (F.col("parent") == NO_PARENT)).select(
-            "fit", "split", "message_id", F.lit(NO_PARENT).cast("long").alias("last_user")
-        )
-        return linked.unionByName(first)
 
     def last_user_features(self, method: str, features: DataFrame | None = None) -> DataFrame:
         """The feature row of the message answered; the default row where there is none."""

@@ -28,7 +28,7 @@ from .plans.design import Design, behaviour_names, spread
 from .schema import ANNOTATED_TAGS, CSV_SCHEMA, N_FOLDS, SCALED, TAGS, profile_columns
 from .settings import ensure_checkpoint_dir, stage
 from .sources.messages import (
-    benchmark_embeddings, benchmark_messages, conversation_messages, read_annotated_csv,
+    benchmark_embeddings, benchmark_messages, conversation_messages, ingest_report, pack, read_annotated_csv,
 )
 from .sources.store import FeatureStore, fingerprint, nested_results, write_results
 
@@ -65,8 +65,8 @@ def scan_messages(spark, sf):
     )
 
 
-def scan_csv(spark, sf):
-    """The messages written as annotated CSV and read back with the fixed schema."""
+def _annotated(spark, sf):
+    """The messages as a folder of annotated CSV."""
     m = benchmark_messages(spark, sf)
     wide = m.select(
         F.col("message_id").alias("Unnamed: 0"), "node_id", F.col("tree_id").cast("string").alias("tree_id"),
@@ -78,6 +78,12 @@ def scan_csv(spark, sf):
         path, header=True, escape='"', emptyValue="",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
+    return path
+
+
+def scan_csv(spark, sf):
+    """The messages written as annotated CSV and read back with the fixed schema."""
+    path = _annotated(spark, sf)
     back = read_annotated_csv(spark, path)
     return back.select(
         "message_id", "tree_id", "parent", "author", "ts", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"),
@@ -85,6 +91,26 @@ def scan_csv(spark, sf):
     )
 
 
+def csv_tree_profile(spark, sf):
+    """From annotated CSV to tree profiles, as a user of the files would go."""
+    rows = read_annotated_csv(spark, _annotated(spark, sf), corrupt="_bad")
+    corpus = Corpus(pack(rows.where(F.col("_bad").isNull())))
+    out = flatten(message_profiles(corpus, ["tree"]), TAGS).drop("fit", "level")
+    return _rounded(out, profile_columns())
+
+
+def ingest_faults(spark, sf):
+    """The ingest report of messages with planted faults: some lost, some twice, some astray."""
+    m = benchmark_messages(spark, sf).select("message_id", "tree_id", "parent")
+    at = F.col("message_id")
+    hurt = m.where(at % 11 != 0).select(
+        F.when(at % 23 != 0, at).alias("message_id"), F.when(at % 19 == 0, F.col("tree_id") + 1).otherwise(F.col("tree_id")).alias("tree_id"),
+        F.when(at % 17 != 0, F.col("parent")).alias("parent"),
+        F.explode(F.array_repeat(F.lit(0), F.when(at % 13 == 0, 2).otherwise(1))).alias("copy"),
+    )
+    return ingest_report(hurt.drop("copy"))
+
+
 def word_counts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     return docs.select("doc_id", word_count(F.col("text")).alias("word_count"))
@@ -404,6 +430,25 @@ def feature_store_roundtrip(spark, sf):
     return _rounded(out.select("fold", "author", *profile_columns()), profile_columns())
 
 
+def feature_store_resume(spark, sf):
+    """The embedding matrix as a second run finds it: stored by the first, not computed again."""
+    first = _design(spark, sf, True)
+    base = _folder(spark, "features")
+
+    def resumed():
+        data = fingerprint(first.corpus.columns(*Corpus.COLUMNS))
+        vectors = fingerprint(first.embeddings)
+        return FeatureStore(spark, base, f"{data}-{vectors}")
+
+    Design(first.corpus, first.embeddings, store=resumed()).matrix("embedding")
+    store = resumed()
+    if store.finished().count() != 1:
+        raise RuntimeError("the first run left no finished table")
+    # without embeddings and folds nothing could be computed
+    again = Design(first.corpus, None, folds=first.folds, store=store)
+    return spread(again.matrix("embedding"), "features", _embedding_names(first.width))
+
+
 # --- metrics --------------------------------------------------------------------------------
 
 
@@ -533,6 +578,8 @@ def cv_results(spark, sf):
 QUERIES = {
     "scan_messages": scan_messages,
     "scan_csv": scan_csv,
+    "csv_tree_profile": csv_tree_profile,
+    "ingest_faults": ingest_faults,
     "word_count": word_counts,
     "untagged_flag": untagged_flag,
     "label_matrix": label_matrix,
@@ -581,6 +628,7 @@ QUERIES = {
     "model_inputs": model_inputs,
     "author_one_hot": author_one_hot_query,
     "feature_store_roundtrip": feature_store_roundtrip,
+    "feature_store_resume": feature_store_resume,
     "binarize_scores": binarize_scores,
     "tag_support": tag_support,
     "tag_prf": tag_prf,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import word_count
-from ..schema import ANNOTATED_TAGS, CSV_SCHEMA, META, UNTAGGED
+from ..operators.skew import lookup_join
+from ..schema import ANNOTATED_TAGS, CSV_SCHEMA, META, NO_PARENT, UNTAGGED
 
 
 def untagged(tags: list[str] = ANNOTATED_TAGS) -> Column:
@@ -16,12 +17,17 @@ def untagged(tags: list[str] = ANNOTATED_TAGS) -> Column:
     return F.when(total == 0, 1).otherwise(0)
 
 
-def read_annotated_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_annotated_csv(spark: SparkSession, path: str, corrupt: str | None = None) -> DataFrame:
     """Read annotated threads with a fixed schema and add the `Untagged` flag.
 
-    Texts may span lines, so one file is read by one task; pass a folder of many files.
+    Texts may span lines, so one file is read by one task; pass a folder of many files.  With
+    `corrupt`, a column of that name holds the source of records that do not fit the schema, else NULL.
     """
-    raw = spark.read.schema(CSV_SCHEMA).csv(path, header=True, multiLine=True, escape='"')
+    schema, options = CSV_SCHEMA, {}
+    if corrupt:
+        schema = T.StructType([*CSV_SCHEMA.fields, T.StructField(corrupt, T.StringType())])
+        options = {"columnNameOfCorruptRecord": corrupt}
+    raw = spark.read.schema(schema).options(**options).csv(path, header=True, multiLine=True, escape='"')
     return raw.withColumnsRenamed({"Unnamed: 0": "message_id", "timestamp": "ts"}).withColumn(
         UNTAGGED, untagged()
     )
@@ -42,6 +48,34 @@ def pack(messages: DataFrame, tags: list[str] = ANNOTATED_TAGS) -> DataFrame:
     )
 
 
+def ingest_report(messages: DataFrame) -> DataFrame:
+    """(rows, no_id, repeated_ids, no_parent, lost_parents, foreign_parents): what a corpus should not
+    have, in one row.
+
+    repeated_ids counts ids of several rows, no_parent rows with neither a parent nor -1, lost_parents
+    rows whose parent is no message, foreign_parents those whose parent is in another thread only.
+    """
+    ids = messages.where("message_id IS NOT NULL").groupBy("message_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("tree_id").alias("low"), F.max("tree_id").alias("high")
+    )
+    parents = ids.select(F.col("message_id").alias("parent"), "low", "high")
+    rows = messages.count()
+    asked = messages.where(F.col("parent") != NO_PARENT).select("parent", "tree_id")
+    linked = lookup_join(asked, parents, ["parent"], rows, "left")
+    # an id in several threads is counted as repeated; its parent is foreign if in neither end's thread
+    foreign = (F.col("low") != F.col("tree_id")) & (F.col("high") != F.col("tree_id"))
+    links = linked.agg(
+        F.count_if(F.col("low").isNull()).alias("lost_parents"), F.count_if(foreign).alias("foreign_parents")
+    )
+    counts = messages.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("message_id").isNull()).alias("no_id"),
+        F.count_if(F.col("parent").isNull()).alias("no_parent"),
+    )
+    repeated = ids.agg(F.count_if(F.col("n") > 1).alias("repeated_ids"))
+    parts = counts.unionByName(repeated, allowMissingColumns=True).unionByName(links, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
+
+
 # --- a thread corpus derived from the benchmark tables --------------------------------------
 
 

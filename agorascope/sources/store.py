@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..settings import stage
+
 KEYS = ["method", "fold", "level", "split"]
 
 
@@ -49,17 +51,26 @@ class FeatureStore:
             "partitionOverwriteMode", "dynamic"
         ).partitionBy(*KEYS).parquet(self.path + "-done")
 
-    def get_or_compute(self, keys: dict, compute: Callable[[], DataFrame]) -> DataFrame:
-        """Read the table of `keys`, after computing and writing it if it is not there."""
+    def get_or_compute(self, keys: dict, compute: Callable[[], DataFrame], schema: str | None = None) -> DataFrame:
+        """Read the table of `keys`, after computing and writing it if it is not there.  With its
+        `schema` (DDL) given, reading a stored table starts no job."""
         folder = self._folder(keys)
         if not self._exists(self._mark(keys)):
             compute().write.mode("overwrite").parquet(folder)
             self._finish(self.spark.createDataFrame([tuple(str(keys[k]) for k in KEYS)], KEYS))
-        return self.spark.read.parquet(folder)
+        return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(folder)
+
+    def finished(self) -> DataFrame:
+        """(method, fold, level, split) of the tables that are complete."""
+        schema = ", ".join(f"{k} string" for k in KEYS)
+        if not self._exists(self.path + "-done"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema("done boolean, " + schema).parquet(self.path + "-done").select(*KEYS)
 
     def write(self, features: DataFrame) -> None:
         """Write a table that carries the key columns, one folder per key; tables of other keys
         stay."""
+        features = stage(features)  # computed once, for the tables and for their marks
         features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(self.path)
         self._finish(features)
 

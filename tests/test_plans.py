@@ -170,6 +170,54 @@ def test_store_keeps_other_tables(spark, tmp_path):
     assert store.get_or_compute(keys, never).count() == 2
 
 
+def test_second_run_finds_the_matrix(spark, tmp_path):
+    """A stored matrix is read without a job and without what it was made of."""
+    from agorascope.plans.design import Design
+    from agorascope.operators.corpus import Corpus
+
+    keys = {"method": "behaviour", "fold": "all_5", "level": "all", "split": "all"}
+    matrix = spark.createDataFrame([(0, "train", 7, [1.0, 2.0])], "fit int, split string, message_id long, features array<float>")
+    first = FeatureStore(spark, str(tmp_path), "y")
+    assert first.finished().count() == 0
+    first.get_or_compute(keys, lambda: matrix)
+    assert [tuple(r) for r in FeatureStore(spark, str(tmp_path), "y").finished().collect()] == [tuple(keys.values())]
+    design = Design(Corpus(spark.range(0)), store=FeatureStore(spark, str(tmp_path), "y"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("resume", "")
+    found = design.matrix("behaviour")
+    assert not tracker.getJobIdsForGroup("resume")
+    assert found.collect() == matrix.collect()
+    spark.sparkContext.setJobGroup("", "")
+
+
+def test_store_computes_once(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        runs.add(1)
+        return v
+
+    rows = spark.range(4).withColumn("x", F.udf(counted, "long")("id"))
+    store = FeatureStore(spark, str(tmp_path), "z")
+    store.write(rows.withColumns({k: F.lit("a") for k in ("method", "fold", "level", "split")}))
+    assert runs.value == 4 and store.read().count() == 4
+
+
+def test_ingest_report_and_corrupt_records(spark, tmp_path):
+    from agorascope.sources.messages import ingest_report
+
+    rows = [(1, "a", -1), (2, "a", 1), (2, "a", 1), (3, "b", 1), (4, "b", 99), (None, "b", 3), (5, "b", None)]
+    got = ingest_report(spark.createDataFrame(rows, "message_id long, tree_id string, parent long")).first().asDict()
+    assert got == {"rows": 7, "no_id": 1, "no_parent": 1, "repeated_ids": 1, "lost_parents": 1, "foreign_parents": 1}
+    empty = ingest_report(spark.createDataFrame([], "message_id long, tree_id string, parent long")).first()
+    assert set(empty.asDict().values()) == {0}
+    head = ["Unnamed: 0", "node_id", "tree_id", "parent", "author", "text", "timestamp", *ALL_TAGS[:-1]]
+    good = ["1", "n", "t", "-1", "u", "x", "5.0"] + ["0"] * 31
+    (tmp_path / "m.csv").write_text("\n".join([",".join(head), ",".join(good), ",".join(["bad"] + good[1:])]))
+    back = read_annotated_csv(spark, str(tmp_path / "m.csv"), corrupt="_bad").collect()
+    assert sorted((r.message_id is None, r["_bad"] is None) for r in back) == [(False, True), (True, False)]
+
+
 def test_grid():
     names = [g[0] for g in experiment.grid(["x", "y"])]
     assert len(names) == len(set(names)) == 12
