@@ -167,15 +167,16 @@ def context_profile(contexts: DataFrame, n_tags: int = len(TAGS), mode: str = "s
     )
 
 
-def message_profiles(
+def profile_parts(
     corpus: Corpus,
     levels: list[str],
     folds: DataFrame | None = None,
     n_folds: int = N_FOLDS,
     mode: str = "sequential",
     forum: DataFrame | None = None,
-) -> DataFrame:
-    """Tree and branch profile of every message, for every fit.
+) -> tuple[DataFrame, DataFrame]:
+    """Tree and branch profiles in two parts: of messages whose author has a history, without `fit`
+    because they are the same for all fits, and of the others, once per fit.
 
     The contexts do not depend on the fit, because threads are never divided between folds;
     they are built once and only the fallback tags differ.
@@ -186,10 +187,23 @@ def message_profiles(
     contexts = stage(message_contexts(corpus, levels))
     old, new = with_tags(contexts, forum, corpus, fits)
     n_tags = len(corpus.tags)
+    return context_profile(old, n_tags, mode), context_profile(new, n_tags, mode)
+
+
+def message_profiles(
+    corpus: Corpus,
+    levels: list[str],
+    folds: DataFrame | None = None,
+    n_folds: int = N_FOLDS,
+    mode: str = "sequential",
+    forum: DataFrame | None = None,
+) -> DataFrame:
+    """Tree and branch profile of every message, for every fit."""
+    once, each = profile_parts(corpus, levels, folds, n_folds, mode, forum)
+    fits = [ALL] if folds is None else list(range(n_folds))
     # profiles with a history are scaled once, and repeated for the fits afterwards
-    once = context_profile(old, n_tags, mode)
     every = F.explode(F.array(*[F.lit(k) for k in fits]))
-    return once.withColumn("fit", every).unionByName(context_profile(new, n_tags, mode))
+    return once.withColumn("fit", every).unionByName(each)
 
 
 def flatten(profiles: DataFrame, tags: list[str], suffix: str = "", cast: str = "double") -> DataFrame:

@@ -365,6 +365,9 @@ ORACLES = {
     "embed_text_hashed": sql(f"""SELECT doc_id, bucket, {r('n / sqrt(sum(n * n) OVER (PARTITION BY doc_id))', 'value')} FROM (
         SELECT doc_id, (('0x' || substr(md5(token), 1, 4))::INTEGER % {D})::INTEGER AS bucket, count(*)::DOUBLE AS n
         FROM (SELECT doc_id, unnest({WORDS}) AS token FROM documents) GROUP BY 1, 2)"""),
+    "embed_text_model": f"""SELECT doc_id, {commas(f32(f'n[{i + 1}] / greatest(list_sum(n), 1)', f'e{i}') for i in range(8))} FROM (
+        SELECT doc_id, [{commas(f'len(list_filter(points, lambda p: p % 8 = {i}))::DOUBLE' for i in range(8))}] AS n FROM (
+          SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '(?s).'), lambda c: unicode(c)) AS points FROM documents))""",
     "forum_attach_train": sql(f"""SELECT w.fit, w.message_id, {flat('f.', '', True, 'd.')} FROM rows_ w
         LEFT JOIN fit_forum f ON f.fit = w.fit AND f.author = w.author JOIN fit_forum_default d ON d.fit = w.fit
         WHERE w.split = 'train'"""),

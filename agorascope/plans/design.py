@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.corpus import Corpus
 from ..operators.embedding import author_means, context_means, default_mean, width
 from ..operators.folds import fits, group_folds, in_folds
-from ..operators.profile import default_profile, forum_profile, message_profiles
+from ..operators.profile import default_profile, forum_profile, message_profiles, profile_parts
 from ..operators.skew import lookup_join
 from ..schema import N_FOLDS, NO_PARENT, profile_columns
 from ..settings import stage
@@ -37,7 +37,9 @@ def thrice(vector: Column) -> Column:
 class Design:
     """Feature matrices of a corpus for all fits of a cross-validation.
 
-    Every matrix is (fit, split, message_id, features) and has one row per message and fit.
+    Every matrix is (fit, split, message_id, features) and has one row per message and fit.  What is
+    stored has one row per message: blocks that are the same for all fits, and maps from fit to the
+    author's values; a matrix is a projection of them.
     """
 
     def __init__(
@@ -49,6 +51,7 @@ class Design:
         self.n_folds = n_folds
         self._folds = folds
         self._matrices: dict[str, DataFrame] = {}
+        self._blocks: dict[str, DataFrame] = {}
         # a store of this corpus, embeddings and folds: matrices in it are read, others are added
         self.store = store
 
@@ -94,35 +97,62 @@ class Design:
             "fit", as_vector().alias("vector")
         )
 
+    def _with_author(self, table: DataFrame, value: Column, name: str) -> DataFrame:
+        """(message_id, fold, name): what `table` (fit, author, ...) says of each message's author, as a
+        map from fit to value.  One look-up per message, not one per message and fit."""
+        per_author = table.groupBy("author").agg(
+            F.map_from_entries(F.collect_list(F.struct("fit", value.alias("v")))).alias(name)  # an entry per fit
+        )
+        messages = self.placed.select("message_id", "author", "fold")
+        return lookup_join(messages, per_author, ["author"], self.corpus.rows, "left", self.corpus.limits).drop("author")
+
     def forum_vectors(self) -> DataFrame:
         """Forum profile of each message's author; the default if unseen in training."""
-        known = lookup_join(
-            self.rows, self.forum.select("fit", "author", as_vector().alias("known")),
-            ["fit", "author"], self.n_rows, "left", self.corpus.limits,
-        )
-        return known.join(F.broadcast(self.behaviour_default), "fit").select(
-            "fit", "split", "message_id", F.coalesce("known", "vector").alias("forum"),
+        known = self._with_author(self.forum, as_vector(), "known")
+        return fits(known, self.n_folds).join(F.broadcast(self.behaviour_default), "fit").select(
+            "fit", "split", "message_id", F.coalesce(F.try_element_at("known", F.col("fit")), "vector").alias("forum"),
             F.col("vector").alias("default"),
         )
 
+    @cached_property
+    def behaviour_blocks(self) -> DataFrame:
+        """One row per message: what is the same for all fits, and small maps from fit to the rest."""
+        once, each = profile_parts(
+            self.corpus, ["tree", "branch"], self.folds, self.n_folds, forum=self.forum
+        )
+        profiles = once.withColumn("fit", F.lit(None).cast("int")).unionByName(each)
+        shared, v = F.col("fit").isNull(), as_vector()
+        levels = []
+        for level in LEVELS[1:]:
+            mine = F.col("level") == level
+            levels += [
+                F.first(F.when(shared & mine, v), True).alias(level),
+                F.map_from_entries(F.collect_list(F.when(~shared & mine, F.struct("fit", v.alias("v"))))).alias(f"{level}_late"),
+            ]
+        profiles = profiles.groupBy("message_id").agg(*levels)  # at most two levels and fits entries
+        return self._with_author(self.forum, as_vector(), "forum").join(profiles, "message_id", "left")
+
+    @staticmethod
+    def _behaviour_row(default: str) -> Column:
+        fit = F.col("fit")
+        late = [F.coalesce(F.col(x), F.try_element_at(f"{x}_late", fit), F.col(default)) for x in LEVELS[1:]]
+        return F.concat(F.coalesce(F.try_element_at("forum", fit), F.col(default)), *late)
+
     @cached_property
     def behaviour(self) -> DataFrame:
         """3 x 38 numbers: the author in the forum, the thread so far and the branch."""
-        pair = (
-            self.profiles.select("fit", "message_id", "level", as_vector().alias("v"))
-            .groupBy("fit", "message_id")
-            .agg(
-                F.first(F.when(F.col("level") == "tree", F.col("v")), True).alias("tree"),
-                F.first(F.when(F.col("level") == "branch", F.col("v")), True).alias("branch"),
-            )
-        )
-        x = self.forum_vectors().join(pair, ["fit", "message_id"], "left")
-        return x.select(
-            "fit", "split", "message_id",
-            F.concat(
-                "forum", F.coalesce("tree", "default"), F.coalesce("branch", "default")
-            ).alias("features"),
-        )
+        return self._put_together("behaviour", self.behaviour_blocks)
+
+    def _put_together(self, method: str, blocks: DataFrame) -> DataFrame:
+        """The matrix of a method from one row per message: a projection, made when it is read."""
+        rows, parts = fits(blocks, self.n_folds), []
+        if method != "embedding":
+            rows = rows.join(F.broadcast(self.behaviour_default.withColumnRenamed("vector", "behaviour_default")), "fit")
+            parts.append(self._behaviour_row("behaviour_default"))
+        if method != "behaviour":
+            rows = rows.join(F.broadcast(self.embedding_default.withColumnRenamed("vector", "embedding_default")), "fit")
+            parts.append(self._embedding_row("embedding_default"))
+        return rows.select("fit", "split", "message_id", F.concat(*parts).alias("features"))
 
     # --- embeddings -----------------------------------------------------------------------
 
@@ -141,45 +171,49 @@ class Design:
         )
 
     @cached_property
-    def embedding(self) -> DataFrame:
-        """3 x d numbers: mean embedding of the author in the same three contexts."""
-        levels = self.corpus.columns("message_id")
+    def embedding_blocks(self) -> DataFrame:
+        """One row per message: mean embeddings of its author in thread and branch, and a map from fit
+        to that in the forum."""
+        blocks = self._with_author(self.means, F.col("mean").cast("array<float>"), "mean_forum")
         for level in LEVELS[1:]:
             part = context_means(self.corpus, self.embeddings, self.width, level)
-            levels = levels.join(
-                part.select("message_id", F.col("mean").cast("array<float>").alias(level)),
+            blocks = blocks.join(
+                part.select("message_id", F.col("mean").cast("array<float>").alias(f"mean_{level}")),
                 "message_id", "left",
             )
-        known = lookup_join(
-            self.rows,
-            self.means.select("fit", "author", F.col("mean").cast("array<float>").alias("known")),
-            ["fit", "author"], self.n_rows, "left", self.corpus.limits,
-        )
-        # the same levels serve all fits of a message, so they are joined before fits are spread
-        x = known.join(F.broadcast(self.embedding_default), "fit").join(levels, "message_id")
-        return x.select(
-            "fit", "split", "message_id",
-            F.concat(
-                F.coalesce("known", "vector"), F.coalesce("tree", "vector"),
-                F.coalesce("branch", "vector"),
-            ).alias("features"),
-        )
+        return blocks
+
+    @staticmethod
+    def _embedding_row(default: str) -> Column:
+        parts = [F.try_element_at("mean_forum", F.col("fit")), *[F.col(f"mean_{x}") for x in LEVELS[1:]]]
+        return F.concat(*[F.coalesce(x, F.col(default)) for x in parts])
+
+    @cached_property
+    def embedding(self) -> DataFrame:
+        """3 x d numbers: mean embedding of the author in the same three contexts."""
+        return self._put_together("embedding", self.embedding_blocks)
 
     @property
     def combined(self) -> DataFrame:
-        on = ["fit", "split", "message_id"]
-        right = self.matrix("embedding").withColumnRenamed("features", "more")
-        return self.matrix("behaviour").join(right, on).select(
-            *on, F.concat("features", "more").alias("features")
-        )
+        return self._put_together("combined", self._stored("combined"))
+
+    def _stored(self, method: str) -> DataFrame:
+        """The blocks of a method, written on first use: a row per message, whatever the number of fits."""
+        if method not in self._blocks:
+            if method == "combined":
+                self._blocks[method] = self._stored("behaviour").join(self._stored("embedding").drop("fold"), "message_id")
+            else:
+                self._blocks[method] = stage(getattr(self, f"{method}_blocks"))
+        return self._blocks[method]
 
     def matrix(self, method: str) -> DataFrame:
-        """The matrix of a method, written on first use: several configurations share it."""
+        """The matrix of a method, put together from blocks that several configurations share.  With a
+        store the matrix itself is kept, for other runs."""
         if method not in METHODS:
             raise ValueError(f"unknown method {method!r}")
         if method not in self._matrices:
             if self.store is None:
-                found = stage(getattr(self, method))
+                found = self._put_together(method, self._stored(method))
             else:
                 keys = {"method": method, "fold": f"all_{self.n_folds}", "level": "all", "split": "all"}
                 found = self.store.get_or_compute(keys, lambda: getattr(self, method), MATRIX)

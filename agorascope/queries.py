@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions.embedding import hashed_counts, hashed_embedding
+from .functions.embedding import hashed_counts, hashed_embedding, model_embedding
 from .functions.scaling import minmax, scale_row
 from .functions.text import word_count
 from .operators import folds as fold_ops
@@ -357,6 +357,27 @@ def embed_text_hashed(spark, sf):
     return hashed_counts(docs, "doc_id").select("doc_id", "bucket", _r("value").alias("value"))
 
 
+def _letters_model():
+    """A deterministic stand-in for an encoder: shares of code points by their remainder."""
+
+    def predict(texts):
+        out = np.zeros((len(texts), 8), np.float32)
+        for i, text in enumerate(texts):
+            if text:
+                points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+                out[i] = np.bincount(points % 8, minlength=8) / len(points)
+        return out
+
+    return predict
+
+
+def embed_text_model(spark, sf):
+    """Text embeddings through the hook for models, which runs them batch by batch."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = model_embedding(docs, "doc_id", _letters_model)
+    return spread(out, "embedding", [f"e{i}" for i in range(8)])
+
+
 # --- matrices -------------------------------------------------------------------------------
 
 
@@ -617,6 +638,7 @@ QUERIES = {
     "emb_tree": emb_tree,
     "emb_branch": emb_branch,
     "embed_text_hashed": embed_text_hashed,
+    "embed_text_model": embed_text_model,
     "forum_attach_train": forum_attach_train,
     "forum_attach_test": forum_attach_test,
     "design_behaviour": design_behaviour,
