@@ -33,21 +33,27 @@ class Index:
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray):
         n = len(counts)
-        doc = np.repeat(np.arange(n, dtype=np.int64), counts)
-        key, tf = np.unique(doc << 32 | ids.astype(np.int64), return_counts=True)
-        doc, term = key >> 32, key & 0xFFFFFFFF
-        terms, term, df = np.unique(term, return_inverse=True, return_counts=True)
+        key = np.repeat(np.arange(n, dtype=np.int64) << 32, counts)
+        key |= ids
+        key.sort()
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        tf = np.diff(np.append(at, len(key))).astype(np.float32)
+        key = key[at]
+        doc, term = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.uint32)
+        del key, at
+        df = np.bincount(term)  # by id: at most as long as the vocabulary
         self.n = n
-        idf = np.log((n - df + 0.5) / (df + 0.5)).clip(0)
-        norm = K1 * (1 - B + B * counts / max(counts.mean(), 1))
-        weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        idf = np.log((n - df + 0.5) / (df + 0.5)).clip(0).astype(np.float32)
+        norm = (K1 * (1 - B + B * counts / max(counts.mean(), 1))).astype(np.float32)
+        weight = idf[term] * tf * np.float32(K1 + 1) / (tf + norm[doc])
         keep = weight > 0
         doc, term, weight = doc[keep], term[keep], weight[keep]
         self.doc_from = np.searchsorted(doc, np.arange(n + 1))
         self.doc_terms = term
-        order = np.argsort(term, kind="stable")
+        # a stable sort of short integers takes time in proportion
+        order = np.argsort(term.astype(np.uint16) if len(df) <= 1 << 16 else term, kind="stable")
         self.docs, self.weights = doc[order], weight[order]
-        self.term_from = np.searchsorted(term[order], np.arange(len(terms) + 1))
+        self.term_from = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(df)))])
 
     def scores(self, seed: int) -> np.ndarray:
         query = self.doc_terms[self.doc_from[seed] : self.doc_from[seed + 1]]
