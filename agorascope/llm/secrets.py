@@ -7,8 +7,11 @@ same place with the same content, is not opened again, so decodings that reprodu
 Every character of a layer knows the span of the original text it came from, which gives a secret
 found at any depth its place in the original.
 
-Base64 runs are decoded line by line and joined over single line breaks. All members of gzip and zlib
-data and all frames of zstd data are read. A compressed layer of over MAX_LAYER bytes is opened as a
+Base64 runs are decoded line by line and joined over single line breaks, in all four alignments, so that
+a run glued to a path before it is read too. Decoded bytes are opened if they hold a stretch of printable
+ASCII as long as the shortest secret, as UTF-8 or, if they are not that, byte by byte; such stretches of
+UTF-16 are opened as well. All members of gzip and zlib data and all frames of zstd data are read, and what
+follows the last one. Escaped escapes (%252541, &amp;amp;#65;) are undone in one step. A compressed layer of over MAX_LAYER bytes is opened as a
 stream of windows, cut where nothing that is looked for can go on; a stretch of over MAX_LAYER characters
 without such a place is left out, and its layer counted as unopened.
 """
@@ -16,7 +19,6 @@ without such a place is left out, and its layer counted as unopened.
 from __future__ import annotations
 
 import base64
-import binascii
 import codecs
 import html
 import itertools
@@ -43,14 +45,19 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a shorter run fails anyway
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+_ONE_PERCENT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
 _ESCAPE = re.compile(
     r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+"
-    r"|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
+    r"|&(?:amp;)*(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 )
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+# the shortest secret has 12 characters, and no encoding is shorter than what it encodes
+_STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+_STRETCH_16 = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12,}|(?:\x00[\t\n\r\x20-\x7e]){12,}")
+_MEMBER = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd")  # starts of gzip and zstd data
 _CUT = re.compile(r"""[^A-Za-z0-9+/_.=\-"':%\\&#;{}\s]""")  # in none of the patterns
 
 
@@ -85,15 +92,13 @@ class Layer:
         return self.first[start:end], self.last[start:end]
 
 
-def _utf8(raw: bytes, unit: int, base: int) -> tuple[str, list[int], list[int]]:
-    """Text of bytes written with ``unit`` characters each from ``base`` on, and each character's place."""
-    text = raw.decode("utf-8", "replace") if _is_utf8(raw) else raw.decode("latin-1")
-    sizes = [len(c.encode()) for c in text] if _is_utf8(raw) else [1] * len(text)
-    starts, at = [], 0
-    for size in sizes:
-        starts.append(base + at * unit)
-        at += size
-    return text, starts, [s + n * unit for s, n in zip(starts, sizes)]
+def _utf8(raw: bytes, places: list[int]) -> tuple[str, list[int], list[int]]:
+    """Text of bytes whose codes start at the first of ``places`` and end at the next, and the places
+    of each character."""
+    known = _is_utf8(raw)
+    text = raw.decode("utf-8" if known else "latin-1")
+    ends = list(itertools.accumulate(len(c.encode()) if known else 1 for c in text))
+    return text, [places[i] for i in [0, *ends[:-1]]], [places[i] for i in ends]
 
 
 def _is_utf8(raw: bytes) -> bool:
@@ -105,13 +110,14 @@ def _is_utf8(raw: bytes) -> bool:
 
 
 def _percent(match: re.Match) -> tuple[str, list[int], list[int]]:
-    return _utf8(bytes.fromhex(match[0].replace("%", "")), 3, match.start())
+    codes = list(_ONE_PERCENT.finditer(match.string, match.start(), match.end()))
+    return _utf8(bytes.fromhex("".join(c[1] for c in codes)), [*(c.start() for c in codes), match.end()])
 
 
 def _escape(match: re.Match) -> tuple[str, list[int], list[int]]:
     code, start = match[0], match.start()
     if code.startswith("\\x"):
-        return _utf8(bytes.fromhex(code.replace("\\x", "")), 4, start)
+        return _utf8(bytes.fromhex(code.replace("\\x", "")), list(range(start, match.end() + 1, 4)))
     if code.startswith("\\u") and "{" not in code:
         units = [int(code[i + 2 : i + 6], 16) for i in range(0, len(code), 6)]
         text = b"".join(u.to_bytes(2, "little") for u in units).decode("utf-16-le", "replace")
@@ -121,7 +127,7 @@ def _escape(match: re.Match) -> tuple[str, list[int], list[int]]:
             at += 12 if ord(c) > 0xFFFF else 6
         return text, starts, [*starts[1:], match.end()]
     if code.startswith("&"):
-        text = html.unescape(code)
+        text = html.unescape("&" + code[1:].replace("amp;", "")) if code.count(";") > 1 else html.unescape(code)
     else:
         number = int(code.strip("\\uU{}"), 16)
         text = chr(number) if number < 0x110000 and not 0xD800 <= number < 0xE000 else "�"
@@ -162,9 +168,8 @@ def _packing(head: bytes) -> str | None:
 
 
 def _chunks(source: Iterator[bytes], packing: str) -> Iterator[bytes]:
-    """The decompressed data of all members or frames; what follows the last one is left out."""
-    if packing == "zstd":
-        import zstandard
+    """The decompressed data of all members or frames, and what follows the last one on a line of its own."""
+    import zstandard
 
     def fresh():
         return zstandard.ZstdDecompressor().decompressobj() if packing == "zstd" else zlib.decompressobj(47)
@@ -174,7 +179,9 @@ def _chunks(source: Iterator[bytes], packing: str) -> Iterator[bytes]:
         if tool is None:  # a member has ended: is there another?
             while len(rest) < 4 and (more := next(source, None)) is not None:
                 rest = bytes(rest) + more
-            if _packing(rest) != packing:
+            packing = _packing(rest)
+            if packing is None:
+                yield from itertools.chain([b"\n", bytes(rest)] if rest else [], source)
                 return
             tool, first = fresh(), False
         if not rest:
@@ -192,6 +199,7 @@ def _chunks(source: Iterator[bytes], packing: str) -> Iterator[bytes]:
         except Exception:
             if first:
                 raise
+            yield from itertools.chain([b"\n", bytes(rest)], source)
             return
         if out:
             yield out
@@ -283,10 +291,6 @@ def _flat(text: str, low: int, high: int, depth: int) -> Layer:
     return Layer(text, np.broadcast_to(np.int64(low), len(text)), np.broadcast_to(np.int64(high), len(text)), depth)
 
 
-def _readable(text: str) -> bool:
-    return len(text) > 0 and sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.95 * len(text)
-
-
 def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
     """The base64 runs of a text, each as the (start, end) of its lines: every run within a line; every
     run over single line breaks, whole, from its second line on, and each block of lines of equal
@@ -314,33 +318,46 @@ def _unpacked(layer: Layer) -> tuple[list[Layer], list[Stream]]:
     """Layers inside the base64 runs of a layer, and those too large to be opened as a whole."""
     out, streams = [], []
     for lines in _runs(layer.text):
-        code = "".join(layer.text[a:b] for a, b in lines).rstrip("=").replace("-", "+").replace("_", "/")
-        code = code[: len(code) - (len(code) % 4 == 1)]
-        try:
+        whole = "".join(layer.text[a:b] for a, b in lines).rstrip("=").replace("-", "+").replace("_", "/")
+        maps = None
+        for shift in range(4):
+            code = whole[shift:]
+            code = code[: len(code) - (len(code) % 4 == 1)]
             raw = base64.b64decode(code + "=" * (-len(code) % 4))
-        except binascii.Error:
-            continue
-        opened, large = _inflated(raw)
-        if large or opened is not None:
-            low, high = layer.span(lines[0][0], lines[-1][1])
-            if large:
-                streams.append(Stream(raw, low, high, layer.depth + 1))
-            else:
-                out.append(_flat(opened.decode("utf-8", "replace"), low, high, layer.depth + 1))
-            continue
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError as error:
-            # words of the next line may follow a wrapped run
-            text = raw[: error.start].decode("utf-8") if len(lines) > 1 else ""
-        if _readable(text):
+            packed = [m.start() for m in _MEMBER.finditer(raw)]
+            if not shift and _packing(raw) == "zlib" and packed[:1] != [0]:
+                packed.insert(0, 0)
+            opened = large = None
+            for at in packed:  # what is inside a member is not looked for apart
+                opened, large = _inflated(raw[at:])
+                if large or opened is not None:
+                    break
+            if large or opened is not None:
+                low, high = layer.span(lines[0][0], lines[-1][1])
+                if large:
+                    streams.append(Stream(raw[at:], low, high, layer.depth + 1))
+                else:
+                    out.append(_flat(opened.decode("utf-8", "replace"), low, high, layer.depth + 1))
+                raw = raw[:at]
+            wide = list(_STRETCH_16.finditer(raw))
+            if not wide and not _STRETCH.search(raw):
+                continue
+            if maps is None:
+                maps = tuple(np.concatenate(m) for m in zip(*(layer.maps(a, b) for a, b in lines)))
             # byte i is written by the characters 4i/3 to 4(i+1)/3 of the run
-            sizes = np.array([len(c.encode()) for c in text])
-            ends = np.cumsum(sizes)
-            begins = ends - sizes
-            maps = [layer.maps(a, b) for a, b in lines]
-            first, last = (np.concatenate(m) for m in zip(*maps))
-            out.append(Layer(text, first[begins * 4 // 3], last[-(-ends * 4 // 3) - 1], layer.depth + 1))
+            first, last = (m[shift:] for m in maps)
+
+            def opens(text: str, begins: np.ndarray, ends: np.ndarray) -> Layer:
+                return Layer(text, first[begins * 4 // 3], last[-(-ends * 4 // 3) - 1], layer.depth + 1)
+
+            for match in wide:
+                begins = np.arange(match.start(), match.end(), 2)
+                out.append(opens(match[0].replace(b"\0", b"").decode("ascii"), begins, begins + 2))
+            if _STRETCH.search(raw):
+                known = _is_utf8(raw)
+                text = raw.decode("utf-8" if known else "latin-1")
+                ends = np.cumsum([len(c.encode()) for c in text]) if known else np.arange(1, len(raw) + 1)
+                out.append(opens(text, np.concatenate([[0], ends[:-1]]), ends))
     return out, streams
 
 
@@ -366,7 +383,7 @@ def find(text: str) -> tuple[list[tuple[int, int, int, int]], int]:
         streams += large
         if "%" in layer.text:
             inner.append(_replaced(layer, _PERCENT, _percent))
-        if "\\" in layer.text or "&#" in layer.text:
+        if "\\" in layer.text or "&" in layer.text:
             inner.append(_replaced(layer, _ESCAPE, _escape))
         for new in inner:
             if new is None or not new.text:
