@@ -10,9 +10,15 @@ ones merged, so every page counts and no host meets in one task as a whole.
 A page is then aligned with its host's wrapper. Nodes whose text never varies over COMMON pages or
 more are template, folded siblings one by one; varying slots are content, unless their tag, class or id
 marks them as something beside the article, or they consist of links outside it. If the page has an
-article or a main element, content comes from there. Copies of a page are one page of its wrapper. A
-class or id never marks the page's own elements (html, body, main, an article outside others), nor a box
-that holds most of the page's text and, if it has any, its article, main element or heading.
+article or a main element, content comes from there, and a constant text in it is template only if the
+page has it outside as well. Copies of a page are one page of its wrapper. A class or id never marks inline
+elements, the page's own elements (html, body, main, an article outside others) or, in these, paragraphs and
+other blocks of text, nor a box that holds most of the page's text and, if it has any, its article, main
+element or heading.
+
+Elements nested over MAX_DEPTH deep become children of the element at that depth, as in browsers. The
+children of a wrapper's node are counted with bounded loss: one that was seen on fewer than one in RARE
+pages of the node may be forgotten and counted anew, so its count is short by one in RARE at most.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -31,6 +38,8 @@ from pyspark.sql import functions as F
 from agorascope.llm.store import small, written
 
 COMMON = 4  # pages from which on an unvarying text is template
+MAX_DEPTH = 256
+RARE = 64
 SALTS = 16
 BROADCAST_BYTES = 16 << 20  # wrappers up to this size are broadcast
 
@@ -42,7 +51,7 @@ _INLINE = set(
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = set("html body table ul ol dl article section div main aside nav header footer form blockquote td th".split())
 _NEVER = set(
-    "head script style noscript template nav footer aside form button select textarea iframe object svg canvas "
+    "head title script style noscript template nav footer aside form button select textarea iframe object svg canvas "
     "dialog menu input fieldset".split()
 )
 _MARKED = re.compile(
@@ -51,6 +60,7 @@ _MARKED = re.compile(
     r"share|sharing|social|related|recommended|subscribe|newsletter|signup|login|search|widget|pagination|pager|toolbar|skip|legal|copyright)"
     r"(?:$|[\s_-])|comment|cookie|advert"
 )
+_TEXT = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd tr td th caption figcaption address summary".split())
 _OWN = {"html", "body", "main"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
 _SPACE = re.compile(r"\s+")
@@ -70,15 +80,25 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#page", "#page")
         self.stack = [self.root]
+        self.open = Counter()  # tags on the stack
+
+    def _cut(self, i: int) -> None:
+        self.open.subtract(n.tag for n in self.stack[i:])
+        del self.stack[i:]
 
     def _close(self, tags: set[str], scope: set[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in tags:
-                del self.stack[i:]
+                self._cut(i)
                 return
             if self.stack[i].tag in scope:
                 return
 
+    def _add(self, child: Node | str) -> None:
+        self.stack[min(len(self.stack), MAX_DEPTH) - 1].children.append(child)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in _INLINE:
             self._close({"p"}, _SCOPE)
@@ -87,27 +107,31 @@ class _Builder(HTMLParser):
         own = {k: v or "" for k, v in attrs}
         name = f"{own.get('class', '')} {own.get('id', '')}".strip().lower()
         fixed = tag in _NEVER or own.get("role", "") in _ROLES and tag not in _OWN or "hidden" in own
-        whole = tag in _OWN or tag == "article" and all(n.tag != "article" for n in self.stack)
+        whole = tag in _OWN or tag == "article" and not self.open["article"]
+        whole = whole or tag in _INLINE or tag in _TEXT and bool(self.open["article"] or self.open["main"])
         named = not fixed and not whole and bool(name and _MARKED.search(name))
         label = tag + "." + re.sub(r"\d+", "0", name) if name else tag
         node = Node(tag, label, fixed or named, named)
-        self.stack[-1].children.append(node)
+        self._add(node)
         if tag not in _VOID:
             self.stack.append(node)
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in _VOID and self.stack[-1].tag == tag:
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
-                del self.stack[i:]
+                self._cut(i)
                 return
 
     def handle_data(self, data: str) -> None:
-        self.stack[-1].children.append(data)
+        self._add(data)
 
 
 def parse(html: str) -> Node:
@@ -152,6 +176,31 @@ class Slot:
     pages: int = 1
     chars: int = 0
     children: list = field(default_factory=list)
+    missed: int = 0  # on how many pages more it may have been
+
+
+def dumps(root: Slot) -> bytes:
+    """A wrapper as bytes: its nodes in page order, each with its number of children."""
+    flat, work = [], [root]
+    while work:
+        slot = work.pop()
+        flat.append((slot.label, slot.text, slot.pages, slot.chars, slot.missed, len(slot.children)))
+        work += reversed(slot.children)
+    return pickle.dumps(flat)
+
+
+def loads(raw: bytes) -> Slot:
+    top = Slot("")
+    work = [(top, 1)]  # nodes that wait for so many children
+    for label, text, pages, chars, missed, n in pickle.loads(raw):
+        parent, left = work.pop()
+        slot = Slot(label, text, pages, chars, [], missed)
+        parent.children.append(slot)
+        if left > 1:
+            work.append((parent, left - 1))
+        if n:
+            work.append((slot, n))
+    return top.children[0]
 
 
 def _own_text(node: Node) -> str:
@@ -209,19 +258,27 @@ def match(a: Slot, b: Slot) -> tuple[int, list[tuple[int, int]]]:
 def merge(wrapper: Slot, other: Slot) -> Slot:
     """``wrapper`` with ``other``, a page or a wrapper of the same host, aligned and added."""
     _, pairs = match(wrapper, other)
+    before, added = wrapper.pages // RARE, other.pages // RARE
     wrapper.pages += other.pages
     wrapper.chars += other.chars
+    wrapper.missed += other.missed
     if wrapper.text != other.text:
         wrapper.text = tuple(t for t in wrapper.text or () if t in set(other.text or ())) or None
-    taken, children, at = dict((j, i) for i, j in pairs), [], 0
+    taken, known, children, at = dict((j, i) for i, j in pairs), {i for i, _ in pairs}, [], 0
+    if added:
+        for i, child in enumerate(wrapper.children):
+            child.missed += added if i not in known else 0
     for j, child in enumerate(other.children):
         if j in taken:
             children += wrapper.children[at : taken[j]]
             children.append(merge(wrapper.children[taken[j]], child))
             at = taken[j] + 1
         else:
+            child.missed += before
             children.append(child)
     wrapper.children = children + wrapper.children[at:]
+    if (now := wrapper.pages // RARE) != before:
+        wrapper.children = [c for c in wrapper.children if c.pages + c.missed > now]
     return wrapper
 
 
@@ -243,6 +300,9 @@ def main_text(root: Node, wrapper: Slot | None) -> str:
     if wrapper is not None:
         label(page, wrapper)
     bodies = _bodies(root)
+    if template and bodies != [root]:
+        inside, outside = _texts(root, bodies)
+        template -= {n for n, text in inside.items() if n in template and text not in outside}
     blocks: list[str] = []
     part: list[str] = []
 
@@ -284,6 +344,21 @@ def main_text(root: Node, wrapper: Slot | None) -> str:
     return "\n".join(blocks)
 
 
+def _texts(root: Node, bodies: list[Node]) -> tuple[dict[int, str], set[str]]:
+    """The own texts of the nodes in ``bodies``, by identity, and those of all others."""
+    inside, outside, work = {}, set(), [(root, False)]
+    own = {id(b) for b in bodies}
+    while work:
+        node, within = work.pop()
+        within = within or id(node) in own
+        if within:
+            inside[id(node)] = _own_text(node)
+        else:
+            outside.add(_own_text(node))
+        work += [(c, within) for c in node.children if isinstance(c, Node)]
+    return inside, outside
+
+
 def _bodies(root: Node) -> list[Node]:
     """The outermost article elements, else main elements, else the page."""
     for wanted in ("article", "main"):
@@ -341,7 +416,7 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rows(wrappers: dict[str, Slot]) -> pa.RecordBatch:
     return pa.record_batch(
-        [pa.array(list(wrappers), pa.string()), pa.array([pickle.dumps(w) for w in wrappers.values()], pa.binary())],
+        [pa.array(list(wrappers), pa.string()), pa.array([dumps(w) for w in wrappers.values()], pa.binary())],
         names=["host", "wrapper"],
     )
 
@@ -349,9 +424,9 @@ def _rows(wrappers: dict[str, Slot]) -> pa.RecordBatch:
 def _merge_all(table: pa.Table) -> pa.Table:
     merged: Slot | None = None
     for raw in sorted(table.column("wrapper").to_pylist()):  # in a fixed order, whatever the shuffle
-        other = pickle.loads(raw)
+        other = loads(raw)
         merged = other if merged is None else merge(merged, other)
-    return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [pickle.dumps(merged)]})
+    return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [dumps(merged)]})
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
@@ -385,7 +460,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for html, raw in zip(batch.column("html"), batch.column("wrapper")):
             raw = raw.as_py()
             if raw != last[0]:
-                last = raw, pickle.loads(raw) if raw else None
+                last = raw, loads(raw) if raw else None
             texts.append(main_text(parse(html.as_py() or ""), last[1]))
         yield pa.record_batch(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"]

@@ -62,7 +62,7 @@ def test_large_wrappers_are_joined(spark, monkeypatch):
     found = pages(12)
     monkeypatch.setattr(wrappers, "BROADCAST_BYTES", 0)
     table = spark.createDataFrame([(i, u, h) for i, u, h, _ in found], "page_id long, url string, html string")
-    assert {r.page_id: r.text for r in wrappers.extract(table).collect()}.keys() == {i for i, *_ in found}
+    assert {r.page_id: r.text for r in wrappers.extract(table).collect()} == {i: t for i, _, _, t in found}
 
 
 def test_names_do_not_mark_the_page():
@@ -97,4 +97,79 @@ def test_tree_matching():
     merged = wrappers.merge(a, b).children[0]
     assert [(c.label, c.pages, c.text is None) for c in merged.children] == [
         ("h1", 1, False), ("p", 2, True), ("ul", 1, False), ("h2", 2, False)
-    ] or sorted(c.label for c in merged.children) == ["h1", "h2", "p", "ul"]
+    ]
+
+
+def brute_match(a, b):
+    """The largest mapping, by trying all ways to map the children in order."""
+
+    def pairings(i, j):
+        if i == len(a.children) or j == len(b.children):
+            return 0
+        skip = max(pairings(i + 1, j), pairings(i, j + 1))
+        x, y = a.children[i], b.children[j]
+        return max(skip, brute_match(x, y) + pairings(i + 1, j + 1)) if x.label == y.label else skip
+
+    return 1 + pairings(0, 0)
+
+
+def test_matching_is_largest():
+    r = random.Random(8)
+
+    def tree(depth):
+        return wrappers.Slot(r.choice("ab"), (r.randint(0, 2),), children=[tree(depth - 1) for _ in range(r.randint(0, 4) if depth else 0)])
+
+    for _ in range(150):
+        a, b = tree(2), tree(2)
+        a.label = b.label = "r"
+        size, pairs = wrappers.match(a, b)
+        assert size == brute_match(a, b) == 1 + sum(wrappers.match(a.children[i], b.children[j])[0] for i, j in pairs)
+        assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        again = wrappers.loads(wrappers.dumps(a))
+        assert again == a
+
+
+def only(html):
+    return wrappers.main_text(wrappers.parse(html), None)
+
+
+def test_deep_pages(spark):
+    n = 100_000
+    for tag in ("div", "span", "h4", "ul", "li", "b", "article"):
+        assert only(f"<body><article>top{f'<{tag}>' * n}in{f'</{tag}>' * n}<p>more</p></article><p>out</p></body>").split() in (
+            ["top", "in", "more"], ["topin", "more"]
+        )
+    for html in ("</b>" * n + "<p>x", "<p>x" + "<b>" * n + "</i>" * n, "<div>" * n + "x"):
+        assert only(html) == "x"
+    deep = "<body>" + "<div>" * 1500 + "text {}" + "</div>" * 1500 + "</body>"
+    rows = [(i, f"https://deep.org/{i}", deep.format(i)) for i in range(6)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    assert {r.page_id: r.text for r in wrappers.extract(table).collect()} == {i: f"text {i}" for i in range(6)}
+
+
+def test_words_in_an_article_are_kept():
+    assert only("<article>The <span class='notice-word'>key</span> word <em class='share-of'>x</em>.</article>") == "The key word x."
+    assert only("<article><p class='related'>One</p><h2 id='share'>Two</h2><div class='share'>no</div></article>") == "One\nTwo"
+    assert only("<title>Name</title><p>Text</p>") == "Text"
+
+
+def test_constant_parts(spark):
+    page = "<body><div>Legal words</div><article><h1>Dish {0}</h1><h2>Ingredients</h2><p>Take {0}</p><h3>Legal words</h3></article></body>"
+    rows = [(i, f"https://food.org/{i}", page.format(i)) for i in range(9)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrappers.extract(table).collect()} == {i: f"Dish {i}\nIngredients\nTake {i}" for i in range(9)}
+
+
+def test_unique_names_do_not_grow_the_wrapper():
+    letters = "abcdefghij"
+    wrapper, most = None, 0
+    for i in range(3000):
+        name = "".join(letters[int(d)] for d in str(i))
+        html = f"<body><p>Always here</p>" + "".join(f"<div id='post-{name}{x}'>{i}</div>" for x in "xyz") + "</body>"
+        slot = wrappers._folded([wrappers.parse(html)], {})
+        wrapper = slot if wrapper is None else wrappers.merge(wrapper, slot)
+        most = max(most, len(wrapper.children[0].children))
+    assert most < 600
+    assert [c.pages for c in wrapper.children[0].children if c.label == "p"] == [3000]
+    half = wrappers.loads(wrappers.dumps(wrapper))
+    assert wrappers.merge(wrapper, half).children[0].pages == 6000
