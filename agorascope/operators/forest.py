@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..schema import NO_PARENT
-from ..settings import DEFAULT_LIMITS, Limits, cut
+from ..settings import DEFAULT_LIMITS, Limits, cut, stage
 from .skew import lookup_join, ranged, running
 
 
@@ -142,28 +142,27 @@ def leaf_paths(links: DataFrame, rows: int, limits: Limits = DEFAULT_LIMITS) ->
     parents = links.select(F.col("up").alias("message_id")).distinct()
     ends = links.join(parents, "message_id", "left_anti")
     jump = cut(links.select("message_id", "up"))
-    paths = cut(
+    paths = stage(
         ends.select(
             F.col("message_id").alias("leaf_id"), F.lit(0).cast("long").alias("up_steps"),
             "message_id",
         )
     )
-    reach = 1
+    known, reach = paths.count(), 1
     while not jump.where(F.col("up").isNotNull()).isEmpty():
         if reach > 2 * rows:
             raise ValueError("the parent links contain a cycle")
-        known = paths.count()
         further = lookup_join(
             paths, jump.where(F.col("up").isNotNull()), ["message_id"], known, "inner", limits
         )
-        paths = cut(
-            paths.unionByName(
-                further.select(
-                    "leaf_id", (F.col("up_steps") + reach).alias("up_steps"),
-                    F.col("up").alias("message_id"),
-                )
+        # only the new steps are written; what earlier rounds wrote is read where it is
+        new = stage(
+            further.select(
+                "leaf_id", (F.col("up_steps") + reach).alias("up_steps"),
+                F.col("up").alias("message_id"),
             )
         )
+        paths, known = paths.unionByName(new), known + new.count()
         moved = _double(jump, [], rows, limits).select("message_id", F.col("_up").alias("up"))
         jump = cut(moved.unionByName(jump.where(F.col("up").isNull())))
         reach *= 2
