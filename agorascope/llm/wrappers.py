@@ -26,7 +26,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -80,14 +80,17 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#page", "#page")
         self.stack = [self.root]
-        self.open = Counter()  # tags on the stack
+        self.open: dict[str, int] = defaultdict(int)  # tags on the stack
 
     def _cut(self, i: int) -> None:
-        self.open.subtract(n.tag for n in self.stack[i:])
-        del self.stack[i:]
+        while len(self.stack) > i:
+            self.open[self.stack.pop().tag] -= 1
 
     def _close(self, tags: set[str], scope: set[str]) -> None:
-        if not any(self.open[t] for t in tags):
+        for tag in tags:
+            if self.open[tag]:
+                break
+        else:
             return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in tags:
@@ -96,20 +99,24 @@ class _Builder(HTMLParser):
             if self.stack[i].tag in scope:
                 return
 
+    def _may_be_marked(self, tag: str) -> bool:
+        if tag in _OWN or tag in _INLINE or tag == "article" and not self.open["article"]:
+            return False
+        return not (tag in _TEXT and (self.open["article"] or self.open["main"]))
+
     def _add(self, child: Node | str) -> None:
         self.stack[min(len(self.stack), MAX_DEPTH) - 1].children.append(child)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in _INLINE:
-            self._close({"p"}, _SCOPE)
+            if self.open["p"]:
+                self._close({"p"}, _SCOPE)
             if tag in _CLOSES:
                 self._close(_CLOSES[tag], {"ul", "ol", "dl", "table", "select"})
         own = {k: v or "" for k, v in attrs}
-        name = f"{own.get('class', '')} {own.get('id', '')}".strip().lower()
+        name = f"{own.get('class', '')} {own.get('id', '')}".strip().lower() if own else ""
         fixed = tag in _NEVER or own.get("role", "") in _ROLES and tag not in _OWN or "hidden" in own
-        whole = tag in _OWN or tag == "article" and not self.open["article"]
-        whole = whole or tag in _INLINE or tag in _TEXT and bool(self.open["article"] or self.open["main"])
-        named = not fixed and not whole and bool(name and _MARKED.search(name))
+        named = bool(name) and not fixed and self._may_be_marked(tag) and bool(_MARKED.search(name))
         label = tag + "." + re.sub(r"\d+", "0", name) if name else tag
         node = Node(tag, label, fixed or named, named)
         self._add(node)
@@ -292,7 +299,7 @@ def main_text(root: Node, wrapper: Slot | None) -> str:
     def label(slot: Slot, known: Slot | None) -> None:
         if known is not None and known.text is not None and COMMON <= known.pages and 2 * known.pages > total:
             nodes = owner[id(slot)]
-            template.update(id(n) for n in nodes if _telling(n, nodes) and _hash(_own_text(n)) in known.text)
+            template.update(id(n) for n in nodes if _telling(n, nodes) and (t := _own_text(n)) and _hash(t) in known.text)
         if known is not None:
             for i, j in match(known, slot)[1]:
                 label(slot.children[j], known.children[i])
@@ -301,8 +308,9 @@ def main_text(root: Node, wrapper: Slot | None) -> str:
         label(page, wrapper)
     bodies = _bodies(root)
     if template and bodies != [root]:
-        inside, outside = _texts(root, bodies)
-        template -= {n for n, text in inside.items() if n in template and text not in outside}
+        inside = [n for n in _nodes(bodies, set()) if id(n) in template]
+        outside = {_own_text(n) for n in _nodes([root], set(map(id, bodies)))} if inside else set()
+        template -= {id(n) for n in inside if _own_text(n) not in outside}
     blocks: list[str] = []
     part: list[str] = []
 
@@ -344,19 +352,14 @@ def main_text(root: Node, wrapper: Slot | None) -> str:
     return "\n".join(blocks)
 
 
-def _texts(root: Node, bodies: list[Node]) -> tuple[dict[int, str], set[str]]:
-    """The own texts of the nodes in ``bodies``, by identity, and those of all others."""
-    inside, outside, work = {}, set(), [(root, False)]
-    own = {id(b) for b in bodies}
+def _nodes(tops: list[Node], without: set[int]) -> Iterator[Node]:
+    """The nodes under ``tops``, these included, but for subtrees ``without``, by identity."""
+    work = list(tops)
     while work:
-        node, within = work.pop()
-        within = within or id(node) in own
-        if within:
-            inside[id(node)] = _own_text(node)
-        else:
-            outside.add(_own_text(node))
-        work += [(c, within) for c in node.children if isinstance(c, Node)]
-    return inside, outside
+        node = work.pop()
+        if id(node) not in without:
+            yield node
+            work += [c for c in node.children if isinstance(c, Node)]
 
 
 def _bodies(root: Node) -> list[Node]:
