@@ -135,6 +135,16 @@ def test_line_join_of_short_lines(docs, table, fixture_rows, tmp_path):
         assert {r.doc_id: r.removed for r in got if r.n_removed} == {i: ",".join(map(str, x)) for i, x in want.items()}
 
 
+def test_line_join_leaves_rows_without_id(docs, table):
+    words = [f"w{i}" for i in range(20)]
+    similar, equal = " ".join([*words, "more"]), " ".join(words)
+    found = table([(None, equal, "s"), (None, equal, None), (1, similar, "s"), (2, equal, "s"), (3, "another line", "s")])
+    want = {2: [0]}  # by doc 1, not by the rows without an id
+    assert {r.doc_id: r.removed for r in line_join.removed_lines(found).collect()} == want
+    left = sorted((r.doc_id or 0, r.text) for r in line_join.cleaned(found).collect())
+    assert left == [(0, equal), (0, equal), (1, similar), (3, "another line")]
+
+
 @pytest.mark.parametrize("spaces, path", [(False, tokens.word_vocabulary()), (True, tokens.byte_vocabulary())])
 def test_encoder(fixture_rows, monkeypatch, spaces, path):
     texts = [t or "" for _, t, _ in fixture_rows]
