@@ -21,6 +21,21 @@ def written(df: DataFrame, name: str, codec: str = CODEC) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, in hash buckets of ``column``: written after a shuffle or
+    window by that column, each bucket is one file, and joins on the column need no further shuffle."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    run = uuid.uuid4().hex
+    entry = f"{name.replace('-', '_')}_{run}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{run}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, column).option("compression", CODEC).option("path", path).saveAsTable(entry)
+    found = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")  # of the catalog's entry; the files stay
+    return found
+
+
 BROADCAST_ROWS = 2_000_000  # rows of a few numbers each up to which a table is broadcast
 
 

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from agorascope.llm import (
@@ -13,7 +14,7 @@ from agorascope.llm import (
     substrings, tokens,
 )
 from agorascope.llm.components import components
-from agorascope.llm.store import written
+from agorascope.llm.store import bucketed, written
 
 from . import brute
 
@@ -145,6 +146,16 @@ def test_line_join_leaves_rows_without_id(docs, table):
     assert left == [(0, equal), (0, equal), (1, similar), (3, "another line")]
 
 
+def test_bucketed_table_joins_without_shuffle(spark):
+    rows = spark.range(1000).selectExpr("id % 37 AS word", "id").repartition("word")
+    found = bucketed(rows, "bucket-test", "word")
+    assert sorted(map(tuple, found.collect())) == sorted((i % 37, i) for i in range(1000))
+    joined = found.alias("a").hint("merge").join(found.alias("b"), "word")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == sum(len(range(k, 1000, 37)) ** 2 for k in range(37))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucket_test")]
+
+
 @pytest.mark.parametrize("spaces, path", [(False, tokens.word_vocabulary()), (True, tokens.byte_vocabulary())])
 def test_encoder(fixture_rows, monkeypatch, spaces, path):
     texts = [t or "" for _, t, _ in fixture_rows]
@@ -410,3 +421,23 @@ def test_empty_tables(empty, spark):
         decontaminate.contaminated(empty, none), decontaminate.clean(empty, none), substrings.deduplicated(empty),
     ):
         assert result.count() == 0
+
+
+def test_parity_maps_bound_the_difference(spark):
+    """For lines of all lengths around the steps of width: never above the true difference, and zero for equal sets."""
+    r = random.Random(5)
+    rows = []
+    for k, n in enumerate([1, 5, 60, 95, 96, 110, 240, 255, 256, 300, 500, 511, 512, 600, 1000, 1023, 1024, 1200, 3000]):
+        one = [f"w{r.randrange(10**9)}" for _ in range(n)]
+        two = [w if r.random() > 0.06 else w + "x" for w in one] + [f"y{j}" for j in range(r.randrange(1 + n // 20))]
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = line_join.line_sets(docs, line_join.rarity_classes(docs)).select("doc_id", "n", "map", "wide")
+    pairs = sets.alias("own").join(sets.alias("other"), F.expr("own.doc_id < other.doc_id"))
+    found = {(a, b): d for a, b, d in pairs.select("own.doc_id", "other.doc_id", line_join._differ("own", "other")).collect()}
+    words = {i: set(t.split()) for i, t in rows}
+    for (a, b), d in found.items():
+        assert d <= len(words[a] ^ words[b])
+    for far in ((24, 32), (28, 34), (12, 14)):  # strangers of about one length differ by far more than is allowed
+        n = len(words[far[0]]) + len(words[far[1]])
+        assert found[far] > n - 2 * -(-85 * n // 185)
