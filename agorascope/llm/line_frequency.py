@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agorascope.llm.sqltext import let, lines, normal_line, spaced, words
+from agorascope.llm.sqltext import has_word, let, lines, normal_line, words
 from agorascope.llm.store import written
 
 MIN_DOCUMENTS = 20  # a removed line stands in more documents of its host than this
@@ -164,7 +164,7 @@ def cleaned(docs: DataFrame, host: str = "source") -> DataFrame:
     joined = with_frequent(packed, F.col("host"), frequent, F.col("own"))
 
     def stays(line: Column) -> Column:
-        return (spaced(line) == "") | ~F.array_contains("frequent", F.xxhash64(normal_line(line)))
+        return ~has_word(line) | ~F.array_contains("frequent", F.xxhash64(normal_line(line)))
 
     left = F.when(F.col("frequent").isNull(), F.col("own")).otherwise(
         F.array_join(F.filter(F.split("own", "\n", -1), stays), "\n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = "\t\n\x0b\x0c\r"  # with the space, the white space of words
+SPACES = f"[ {BREAKS}]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -16,25 +17,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def spaced(text: Column) -> Column:
-    """White space as spaces, none at the ends."""
-    return F.trim(F.translate(text, BREAKS, " " * len(BREAKS)))
-
-
 def words(text: Column) -> Column:
     """Maximal runs of other than space, tab, line feed, vertical tab, form feed, return."""
-    return F.array_remove(F.split(spaced(text), " +"), "")
+    return F.array_remove(F.split(text, SPACES), "")
+
+
+def has_word(text: Column) -> Column:
+    return text.rlike(f"[^ {BREAKS}]")
 
 
 def lower_az(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z as a-z; other letters as they are, so that ``lower`` serves ASCII texts only."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def lines(text: Column) -> Column:
     """The lines, split at line feeds, that have a word."""
-    return F.filter(F.split(text, "\n", -1), lambda line: spaced(line) != "")
+    return F.filter(F.split(text, "\n", -1), has_word)
 
 
 def normal_line(line: Column) -> Column:
     """Lower case A-Z, runs of white space as one space, none at the ends."""
-    return F.regexp_replace(spaced(lower_az(line)), " +", " ")
+    return F.trim(F.regexp_replace(lower_az(line), SPACES, " "))

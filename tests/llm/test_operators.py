@@ -14,6 +14,7 @@ from agorascope.llm import (
     substrings, tokens,
 )
 from agorascope.llm.components import components
+from agorascope.llm.sqltext import has_word, lower_az, words
 from agorascope.llm.store import bucketed, written
 
 from . import brute
@@ -441,3 +442,14 @@ def test_parity_maps_bound_the_difference(spark):
     for far in ((24, 32), (28, 34), (12, 14)):  # strangers of about one length differ by far more than is allowed
         n = len(words[far[0]]) + len(words[far[1]])
         assert found[far] > n - 2 * -(-85 * n // 185)
+
+
+def test_words_and_lower_case(spark):
+    texts = [None, "", " ", "A b\tC\n\x0bD\x0c\rE ", "ÀÉ Z\x85z Q İ", "x\x1cY", "ONE", " \t ONE two\r\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = rows.select("i", words(F.col("t")), lower_az(F.col("t")), has_word(F.col("t"))).collect()
+    for i, found, low, some in got:
+        t = texts[i]
+        assert found == (None if t is None else brute.words(t))
+        assert low == (None if t is None else brute.fold(t))
+        assert some == (None if t is None else bool(brute.words(t)))
