@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scaling import array_sum, diversity, minmax, ratio_or_zero, scale_row
@@ -138,8 +140,57 @@ def with_fallback(
     ).drop("forum_tags", "default_tags")
 
 
+def with_fallback_left_out(
+    contexts: DataFrame,
+    totals: DataFrame,
+    folds: DataFrame | None,
+    corpus: Corpus,
+    fits: int = 1,
+    mode: str = "sequential",
+) -> DataFrame:
+    """As `with_fallback`, but without the message itself in what it falls back on.
+
+    Tag counts are sums, so the message's tags are taken from its author's; nobody is counted anew.
+    An author without another training message leaves the mean over the authors in the same way. A
+    message that the fit does not train on has nothing to leave out.  `totals` are those of `fit_totals`.
+    """
+    n_tags = len(corpus.tags)
+    rows = corpus.rows * 2 * fits
+    own = contexts.join(corpus.messages.select("message_id", F.col("tags").alias("own_tags")), "message_id")
+    if folds is None:
+        own = own.withColumn("own_n", F.lit(1))
+    else:
+        own = lookup_join(own, folds.select("tree_id", "fold"), ["tree_id"], rows, "left", corpus.limits)
+        own = own.withColumn("own_n", (F.col("fold") != F.col("fit")).cast("int")).drop("fold")
+    forum = totals.select("fit", "author", F.col("n").alias("all_n"), F.array(*[f"t{i}" for i in range(n_tags)]).alias("all_tags"))
+    each = ", ".join
+    means = forum.select("fit", scale_row(F.col("all_tags"), n_tags, mode).alias("tags")).groupBy("fit").agg(
+        F.expr(f"array({each(f'coalesce(sum(tags[{i}]), 0D)' for i in range(n_tags))}) AS mean_sums"),
+        F.expr(f"array({each(f'count(tags[{i}])' for i in range(n_tags))}) AS mean_counts"),
+    )
+    # one row per fit
+    known = lookup_join(own, forum, ["fit", "author"], rows, "left", corpus.limits).join(F.broadcast(means), "fit")
+    rest = F.zip_with("all_tags", "own_tags", lambda a, b: a - F.coalesce(b, F.lit(0)) * F.col("own_n"))
+    alone = F.coalesce(F.col("all_n") == F.col("own_n"), F.lit(False))
+    # what the author adds to the mean, which goes with the author's only message
+    added = F.when(alone, scale_row(F.col("all_tags"), n_tags, mode)).otherwise(
+        F.array_repeat(F.lit(None).cast("double"), n_tags)
+    )
+    counts = F.zip_with("mean_counts", added, lambda n, v: n - v.isNotNull().cast("long"))
+    sums = F.zip_with("mean_sums", added, lambda s, v: s - F.coalesce(v, F.lit(0.0)))
+    mean = F.zip_with(sums, counts, lambda s, n: s / F.nullif(n, F.lit(0).cast("long")))
+    chosen = F.when(F.col("all_n") > F.col("own_n"), scale_row(rest, n_tags, mode)).otherwise(mean)
+    return known.withColumn("tag_sums", F.transform(chosen, lambda t: F.coalesce(t, F.lit(0.0)))).drop(
+        "own_tags", "own_n", "all_n", "all_tags", "mean_sums", "mean_counts"
+    )
+
+
 def with_tags(
-    contexts: DataFrame, forum: DataFrame, corpus: Corpus, fits: list[int]
+    contexts: DataFrame,
+    forum: DataFrame,
+    corpus: Corpus,
+    fits: list[int],
+    fallback: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Contexts with `tag_sums`, in two parts: those that have a history, which are the same
     for every fit, and those that have none, once per fit with that fit's fallback."""
@@ -148,6 +199,8 @@ def with_tags(
     new = contexts.where(~has_history).withColumn(
         "fit", F.explode(F.array(*[F.lit(k) for k in fits]))
     )
+    if fallback:
+        return old, fallback(new)
     default = default_profile(forum, len(corpus.tags))
     return old, with_fallback(new, forum, default, corpus, len(fits))
 
@@ -174,18 +227,25 @@ def profile_parts(
     n_folds: int = N_FOLDS,
     mode: str = "sequential",
     forum: DataFrame | None = None,
+    leave_one_out: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Tree and branch profiles in two parts: of messages whose author has a history, without `fit`
     because they are the same for all fits, and of the others, once per fit.
 
     The contexts do not depend on the fit, because threads are never divided between folds;
-    they are built once and only the fallback tags differ.
+    they are built once and only the fallback tags differ.  With `leave_one_out` those tags are
+    computed without the message they are for.
     """
-    if forum is None:
+    fallback = None
+    if leave_one_out:
+        totals = stage(fit_totals(corpus.messages, folds, n_folds, corpus))
+        each = 1 if folds is None else n_folds
+        fallback = lambda new: with_fallback_left_out(new, totals, folds, corpus, each, mode)
+    elif forum is None:
         forum = stage(forum_profile(corpus, folds, n_folds, mode))
     fits = [ALL] if folds is None else list(range(n_folds))
     contexts = stage(message_contexts(corpus, levels))
-    old, new = with_tags(contexts, forum, corpus, fits)
+    old, new = with_tags(contexts, forum, corpus, fits, fallback)
     n_tags = len(corpus.tags)
     return context_profile(old, n_tags, mode), context_profile(new, n_tags, mode)
 
@@ -197,9 +257,10 @@ def message_profiles(
     n_folds: int = N_FOLDS,
     mode: str = "sequential",
     forum: DataFrame | None = None,
+    leave_one_out: bool = False,
 ) -> DataFrame:
     """Tree and branch profile of every message, for every fit."""
-    once, each = profile_parts(corpus, levels, folds, n_folds, mode, forum)
+    once, each = profile_parts(corpus, levels, folds, n_folds, mode, forum, leave_one_out)
     fits = [ALL] if folds is None else list(range(n_folds))
     # profiles with a history are scaled once, and repeated for the fits afterwards
     every = F.explode(F.array(*[F.lit(k) for k in fits]))

@@ -173,6 +173,18 @@ CTES: list[tuple[str, str]] = [
     *forum("fit_forum", "SELECT * FROM rows_ WHERE split = 'train'"),
     *contexts("fit_tree", "tree_pairs", "fit_forum", "fits"),
     *contexts("fit_branch", "closure", "fit_forum", "fits"),
+    ("loo_a", """SELECT b.fit, b.anchor, b.author, p.split = 'train' AS trained, p.tags AS own,
+        coalesce(a.num_comment, 0) - (p.split = 'train')::INTEGER AS others, a.sums AS whole
+      FROM fit_tree_b b JOIN rows_ p ON p.fit = b.fit AND p.message_id = b.anchor
+      LEFT JOIN fit_forum_a a ON a.fit = b.fit AND a.author = b.author
+      WHERE b.author = b.anchor_author AND b.old = 0"""),
+    ("loo_b", f"""SELECT *, CASE WHEN trained THEN [{commas(f'whole[{i + 1}] - own[{i + 1}]' for i in T)}]
+        ELSE whole END AS rest FROM loo_a"""),
+    ("loo_c", f"""SELECT s.fit, s.author, [{commas(f'avg(o.tags[{i + 1}])' for i in T)}] AS tags
+      FROM (SELECT DISTINCT fit, author FROM loo_b WHERE others = 0) s
+      JOIN fit_forum o ON o.fit = s.fit AND o.author <> s.author GROUP BY s.fit, s.author"""),
+    ("loo", f"""SELECT b.fit, b.anchor, CASE WHEN b.others > 0 THEN {scaled_row('b.rest')} ELSE c.tags END AS sums
+      FROM loo_b b LEFT JOIN loo_c c ON c.fit = b.fit AND c.author = b.author"""),
     ("vectors", """SELECT m.message_id, m.tree_id, m.author, v.embedding FROM msgs m
       JOIN embeddings v ON v.vec_id = m.message_id % (SELECT count(*) FROM embeddings)"""),
     ("cats", f"SELECT * FROM (VALUES {CATEGORIES}) AS c(tag_pos, tag, category)"),
@@ -353,6 +365,8 @@ ORACLES = {
     "default_profile": sql(f"SELECT fit, {flat()} FROM fit_forum_default"),
     "tag_history_fallback": sql(f"""SELECT anchor AS message_id, {commas(r(f'sums[{i + 1}]', q(t)) for i, t in enumerate(TAGS))}
         FROM tree_b WHERE author = anchor_author"""),
+    "tag_history_loo": sql(f"""SELECT fit, anchor AS message_id,
+        {commas(r(f'coalesce(sums[{i + 1}], 0)', q(t)) for i, t in enumerate(TAGS))} FROM loo"""),
     "tree_profile": sql(f"SELECT message_id, author, {flat()} FROM tree"),
     "branch_profile": sql(f"SELECT message_id, author, {flat()} FROM branch"),
     "profiles_for_fold": sql(f"""SELECT fit, 'tree' AS level, message_id, {flat()} FROM fit_tree

@@ -20,7 +20,7 @@ from .operators.embedding import (
 from .operators.forest import leaf_paths, leaves
 from .operators.profile import (
     ALL, author_totals, default_profile, flatten, forum_profile, fit_totals, message_profiles,
-    raw_profile, with_tags,
+    raw_profile, with_fallback_left_out, with_tags,
 )
 from .operators.skew import ranged, running
 from .plans import classifier, experiment, metrics
@@ -298,6 +298,17 @@ def tag_history_fallback(spark, sf):
     return spread(old.unionByName(new.drop("fit")).select("message_id", "tag_sums"), "tag_sums", TAGS)
 
 
+def tag_history_loo(spark, sf):
+    c = _corpus(spark, sf)
+    folds = stage(fold_ops.group_folds(c))
+    totals = stage(fit_totals(c.messages, folds, N_FOLDS, c))
+    contexts = message_contexts(c, ["tree"])
+    _, new = with_tags(
+        contexts, None, c, list(range(N_FOLDS)), lambda x: with_fallback_left_out(x, totals, folds, c, N_FOLDS)
+    )
+    return spread(new.select("fit", "message_id", "tag_sums"), "tag_sums", TAGS)
+
+
 def _profile(spark, sf, level):
     out = flatten(message_profiles(_corpus(spark, sf), [level]), TAGS).drop("fit", "level")
     return _rounded(out, profile_columns())
@@ -630,6 +641,7 @@ QUERIES = {
     "forum_profile": forum_profile_query,
     "default_profile": default_profile_query,
     "tag_history_fallback": tag_history_fallback,
+    "tag_history_loo": tag_history_loo,
     "tree_profile": tree_profile,
     "branch_profile": branch_profile,
     "profiles_for_fold": profiles_for_fold,

@@ -243,3 +243,25 @@ def test_word_count(spark):
     got = {r["i"]: r["n"] for r in df.select("i", word_count(F.col("t")).alias("n")).collect()}
     assert got == {i: n for i, (_, n) in enumerate(WORDS)}
     assert all(n == len((t or "").split()) for t, n in WORDS)
+
+
+@pytest.mark.parametrize("limits", [Limits(), TINY])
+def test_leave_one_out(spark, limits):
+    """Against profiles of the training messages without the message, each computed anew."""
+    names = ["message_id", "tree_id", "parent", "author", "ts", "words", "tags"]
+    rows = [dict(zip(names, r)) for r in fixture_rows()]
+    rows.append(dict(zip(names, (11, "T3", 10, "u4", 240.0, 1, [1, 1, 0]))))  # no message but this one
+    table = messages(spark, [tuple(r.values()) for r in rows])
+    placed = {"T1": 1, "T2": 1, "T3": 0}
+    dealt = spark.createDataFrame(list(placed.items()), "tree_id string, fold int")
+    corpus = Corpus(table, TAGS, limits)
+    for given, n_folds, fits in ((dealt, 2, [0, 1]), (None, 1, [-1])):
+        out = flatten(message_profiles(corpus, ["tree", "branch"], given, n_folds, leave_one_out=True), TAGS).collect()
+        assert len(out) == 2 * len(rows) * len(fits)
+        for r in out:
+            anchor = next(x for x in rows if x["message_id"] == r["message_id"])
+            rest = [x for x in rows if x is not anchor and (given is None or placed[x["tree_id"]] != r["fit"])]
+            forum = spec.forum(rest, 3)
+            want = spec.message_profile(rows, anchor, r["level"], 3, forum, [v or 0.0 for v in spec.default(forum)])
+            got = [spec.NULL if r[n] is None else r[n] for n in profile_columns(TAGS)]
+            assert all(spec.close(a, b, 1e-9) for a, b in zip(got, want, strict=True)), (r, want)
