@@ -6,8 +6,11 @@ aggregation with few groups, combined before the shuffle.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.arrow import changes, ordered
 from ..functions.scaling import ratio_or_zero
 from ..schema import TAG_CATEGORY, TAGS
 from ..settings import stage
@@ -101,16 +104,48 @@ def bce_loss(scores: DataFrame, keys: list[str] = ("fold",)) -> DataFrame:
     return scores.groupBy(*keys).agg(F.avg(bce(F.col("y"), F.col("p"))).alias("loss"))
 
 
+def _best_of_runs(group: list[str]):
+    """Per run of rows with the same group: its first tag, and where y and p are highest first."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = changes([batch.column(c) for c in group])
+            starts, pos = np.flatnonzero(new), batch.column("tag_pos").to_numpy()
+            of = np.cumsum(new) - 1
+            columns = [batch.column(c).take(pa.array(starts)) for c in group]
+            columns.append(pa.array(np.minimum.reduceat(pos, starts), pa.int32()))
+            for c in ("y", "p"):
+                value = ordered(batch.column(c))
+                top = np.maximum.reduceat(value, starts)
+                at = np.where(value == top[of], pos, np.iinfo(pos.dtype).max)  # the lowest position wins a tie
+                columns += [pa.array(top), pa.array(-np.minimum.reduceat(at, starts), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*group, "first", "y", "y_at", "p", "p_at"])
+
+    return run
+
+
+def message_hits(scores: DataFrame, keys: list[str] = ("fold",)) -> DataFrame:
+    """(keys, message_id, first, hit): the message's first tag, and whether its highest score is at the
+    first set tag.
+
+    A message's rows mostly follow one another, so each task first makes one row of every run; only those
+    are dealt by message.
+    """
+    group = [*keys, "message_id"]
+    found = scores.select(*group, F.col("tag_pos").cast("int").alias("tag_pos"), "y", "p")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[: len(group)])
+    runs = found.mapInArrow(_best_of_runs(group), f"{kinds}, first int, y long, y_at int, p long, p_at int")
+    best = runs.groupBy(*group).agg(
+        F.min("first").alias("first"), F.max(F.struct("y", "y_at")).alias("truth"), F.max(F.struct("p", "p_at")).alias("guess")
+    )
+    return best.select(*group, "first", (F.col("truth.y_at") == F.col("guess.p_at")).alias("hit"))
+
+
 def argmax_accuracy(scores: DataFrame, keys: list[str] = ("fold",)) -> DataFrame:
     """Share of messages whose highest score is at the first set tag."""
-    rank = -F.col("tag_pos")  # the lowest position wins a tie
-    best = scores.groupBy(*keys, "message_id").agg(
-        F.max(F.struct("y", rank.alias("rank"))).alias("truth"),
-        F.max(F.struct("p", rank.alias("rank"))).alias("guess"),
-    )
-    return best.groupBy(*keys).agg(
-        F.avg((F.col("truth.rank") == F.col("guess.rank")).cast("double")).alias("accuracy")
-    )
+    return message_hits(scores, keys).groupBy(*keys).agg(F.avg(F.col("hit").cast("double")).alias("accuracy"))
 
 
 def binary_accuracy(scores: DataFrame, keys: list[str] = ("fold",), threshold: float = 0.5) -> DataFrame:
@@ -136,6 +171,25 @@ def tag_statistics(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
     )
 
 
+def long_statistics(scores: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """What tag_statistics gives of by_message, from a long score table that is never put together by
+    message: sums per tag are added up in the tasks, and so is a row per message for the hits."""
+    per_fold = [*keys, "fold"]
+    y, z = F.col("y").cast("long"), (F.col("p") > 0.5).cast("long")
+    none = F.lit(0).cast("long")
+    sums = scores.groupBy(*per_fold, "tag_pos").agg(
+        F.sum(y * z).alias("tp"), F.sum(z).alias("found"), F.sum(y).alias("support"), F.count("*").alias("n"),
+        F.sum(bce(F.col("y"), F.col("p"))).alias("loss"), none.alias("hits"), none.alias("messages"),
+    )
+    hits = message_hits(scores, per_fold).groupBy(*per_fold, F.col("first").alias("tag_pos")).agg(
+        F.sum(F.col("hit").cast("long")).alias("hits"), F.count("*").alias("messages")
+    )
+    parts = sums.unionByName(hits, allowMissingColumns=True)  # a few rows per fold and tag
+    return parts.groupBy(*per_fold, "tag_pos").agg(
+        *[F.sum(c).alias(c) for c in ("tp", "found", "support", "n", "loss", "hits", "messages")]
+    )
+
+
 def by_message(scores: DataFrame, keys: list[str] = ()) -> DataFrame:
     """A long score table as one row per message, for tag_statistics."""
     values = F.array_sort(F.collect_list(F.struct("tag_pos", "y", "p")))  # one element per tag
@@ -161,13 +215,13 @@ def fold_metrics_of(stats: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def fold_metrics(scores: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """(keys, fold, loss, accuracy, macro_f1, weighted_f1); the scores are read once."""
-    return fold_metrics_of(stage(tag_statistics(by_message(scores, keys), keys)), keys)
+    """(keys, fold, loss, accuracy, macro_f1, weighted_f1) of a long score table."""
+    return fold_metrics_of(stage(long_statistics(scores, keys)), keys)
 
 
 def results(scores: DataFrame, keys: list[str] = (), tags: list[str] = TAGS) -> DataFrame:
     """(keys, metric, value): everything that is reported, averaged over the folds."""
-    return results_of(stage(tag_statistics(by_message(scores, keys), keys)), list(keys), tags)
+    return results_of(stage(long_statistics(scores, keys)), list(keys), tags)
 
 
 def results_of(stats: DataFrame, keys: list[str] = (), tags: list[str] = TAGS) -> DataFrame:

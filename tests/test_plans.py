@@ -1,4 +1,5 @@
 import csv
+import math
 import random
 
 import numpy as np
@@ -361,3 +362,25 @@ def test_cv_results_trains_as_long_as_tag_scores(spark, monkeypatch):
         with pytest.raises(Fit) as found:
             query(spark, "/root/testdata/sf0.001")
         assert found.value.args == (inspect.signature(experiment.evaluate).parameters["rounds"].default,) == (20,)
+
+
+def test_metrics_of_a_long_table_in_any_order(spark):
+    """Ties, missing and odd scores, and messages in pieces count as when they are put together; no more
+    than a row per message and task is dealt by message."""
+    rng = random.Random(3)
+    odd = [None, math.nan, math.inf, -math.inf, -0.0, 0.0, 0.25, 0.5, 0.75]
+    rows = [(m, m % 2, t, rng.choice([0, 0, 1]), rng.choice(odd)) for m in range(60) for t in range(5)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "message_id long, fold int, tag_pos int, y int, p double").repartition(4)
+    names = ("fold", "tag_pos", "tp", "found", "support", "n", "hits", "messages")
+    want = sorted(tuple(r[c] for c in names) for r in metrics.tag_statistics(metrics.by_message(df)).collect())
+    assert sorted(tuple(r[c] for c in names) for r in metrics.long_statistics(df).collect()) == want
+    best = df.groupBy("fold", "message_id").agg(
+        F.max(F.struct("y", -F.col("tag_pos"))).alias("y"), F.max(F.struct("p", -F.col("tag_pos"))).alias("p")
+    )
+    share = best.groupBy("fold").agg(F.avg((F.col("y.col2") == F.col("p.col2")).cast("double")).alias("a"))
+    got = {r.fold: r.accuracy for r in metrics.argmax_accuracy(df).collect()}
+    assert got == pytest.approx({r.fold: r.a for r in share.collect()})
+    plan = metrics.results(df)
+    dealt = metrics.long_statistics(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in dealt and plan.count() == 12
