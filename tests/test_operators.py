@@ -159,3 +159,57 @@ def test_blocks_of_sparse_ids(spark):
     ranges = [r["count"] for r in ranged(rows, "message_id").groupBy("range").count().collect()]
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(ranges) == 3 and max(ranges) < 200
+
+
+def test_threads_by_one_task_as_by_joins(spark):
+    """Intervals, numbering and means inside tasks give what the joins for large threads give."""
+    for shape in ("mixed", "chain"):
+        rows = random_threads(21, 50, shape)
+        small, large = (Corpus(messages(spark, rows), TAGS, x) for x in (Limits(), Limits(block_bits=0)))
+        assert small.narrow and not large.narrow
+        columns = ["message_id", "tree_id", "up", "depth", "size", "pre"]
+        assert sorted(map(str, small.numbered.select(columns).collect())) == sorted(map(str, large.numbered.select(columns).collect()))
+        assert "MapInArrow" in small.numbered._jdf.queryExecution().toString() or "depth" in small._walked.columns
+        for level in ("tree", "branch"):
+            both = [sorted(map(str, c.visits(level).collect())) for c in (small, large)]
+            assert both[0] == both[1]
+    twice = Corpus(messages(spark, rows + rows[:1]), TAGS)
+    assert not twice.narrow
+
+
+@pytest.mark.parametrize("kind", ["double", "long"])
+def test_extremes_in_tasks_as_by_nodes(spark, kind):
+    rng = random.Random(8)
+    value = (lambda: rng.choice([None, -1.5, 0.0, float("nan"), 7.25])) if kind == "double" else (lambda: rng.randrange(-5, 5))
+    spans = [(k, *sorted((rng.randrange(41), rng.randrange(41))), 40, value()) for k in "abc" for _ in range(12)]
+    points = [(k, p, 40) for k in "abcd" for p in range(40)] + [("a", 3, 40)]
+    a = spark.createDataFrame(spans, f"k string, lo long, hi long, size long, v {kind}")
+    b = spark.createDataFrame(points, "k string, pos long, size long")
+    got = covering_extremes(a, b, ["k"], ["v"], 40)
+    want = covering_extremes(a, b, ["k"], ["v"], 40, Limits(block_bits=2, fine_bits=2))
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_rounding_is_that_of_round(spark):
+    from agorascope.functions.scaling import rounded
+
+    rng = random.Random(5)
+    values = [rng.choice([1, -1]) * rng.random() * 10 ** rng.randrange(-8, 9) for _ in range(3000)]
+    values += [k / 2e6 for k in range(-40, 40)] + [0.0, -0.0, 1e300, float("nan"), float("inf"), None, 999999.9999995]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert df.selectExpr("round(x, 6) + 0D AS a", f"{rounded('x', 6)} + 0D AS b").where("NOT (a <=> b)").count() == 0
+
+
+def test_csv_files_are_bounded(spark):
+    from agorascope import queries
+
+    before, queries.CSV_RECORDS = queries.CSV_RECORDS, 100
+    try:
+        path = queries._annotated(spark, "/root/testdata/sf0.001")
+        sizes = spark.read.text(path).selectExpr("input_file_name() AS f").groupBy("f").count()
+        assert sizes.count() >= 10
+    finally:
+        queries.CSV_RECORDS = before
