@@ -147,6 +147,23 @@ def test_line_join_leaves_rows_without_id(docs, table):
     assert left == [(0, equal), (0, equal), (1, similar), (3, "another line")]
 
 
+def test_line_words_of_all_letters(spark):
+    """A number for each different word, A-Z as a-z and no other letters, without a look at every letter."""
+    lines = [
+        None, "", " ", "a  b c ", "A b\tC\x0bD\x0c\rE ", "ÀÉ é É àÉ ã© Ã© Ã ã", "x\x1cY X\x1cy \x85", "ß ÿ Ÿ ẞ SS ss", "İ I i ı",
+        "Ð ð 𐐀 𐐨 ЀÀ ѐà Ԁ à", "中 文 中文 丂 ꀀ ê ê", "so SO sO", " ".join(map(chr, range(0x21, 0x2000))),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    classes = line_join.rarity_classes(docs)
+    found = docs.select("doc_id", "text", line_join.word_numbers(F.col("text"), classes).alias("words"))
+    assert "translate(" not in found._jdf.queryExecution().toString()
+    got = {r.doc_id: r.words for r in found.collect()}
+    words = {i: set(brute.words(brute.fold(t))) for i, t in enumerate(lines) if t is not None}
+    assert got.pop(0) is None and {i: len(x) for i, x in got.items()} == {i: len(x) for i, x in words.items()}
+    assert all(x == sorted(set(x)) for x in got.values())
+    assert all(len(set(got[i]) & set(got[j])) == len(words[i] & words[j]) for i in words for j in words)
+
+
 def test_bucketed_table_joins_without_shuffle(spark):
     rows = spark.range(1000).selectExpr("id % 37 AS word", "id").repartition("word")
     found = bucketed(rows, "bucket-test", "word")
