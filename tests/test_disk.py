@@ -5,7 +5,9 @@ import os
 from pyspark.sql import functions as F
 
 from agorascope import queries
-from agorascope.settings import CLEANUP, stage
+from agorascope.operators.context import message_contexts, written_contexts
+from agorascope.settings import CLEANUP, stage, unstage
+from test_units import fixture
 
 
 def shuffles(spark):
@@ -43,3 +45,53 @@ def test_annotated_csv_is_packed(spark, tmp_path):
     back = queries.scan_csv(spark, sf).collect()
     want = {r.message_id: r.text_md5 for r in queries.scan_messages(spark, sf).collect()}
     assert {r.message_id: r.text_md5 for r in back} == want and len(want) == 300
+
+
+def folders(df):
+    return {name.rpartition("/")[0].removeprefix("file://") for name in df.inputFiles()}
+
+
+def test_spent_tables_are_deleted(spark):
+    table = stage(spark.range(10))
+    (folder,) = folders(table)
+    assert os.path.isdir(folder)
+    unstage(table)
+    assert not os.path.exists(folder)
+    design, _ = fixture(spark)
+    made = []
+    want = message_contexts(design.corpus, ["tree", "branch"], made)
+    assert len(made) == 2 and all(os.path.isdir(f) for part in made for f in folders(part))
+    got = written_contexts(design.corpus, ["tree", "branch"])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))
+
+
+def test_means_between_two_shuffles_go_with_the_stored_blocks(spark):
+    design, _ = fixture(spark)
+    want = sorted(map(repr, design.embedding.collect()))
+    (kept,) = folders(design._between)
+    assert sorted(map(repr, design.matrix("embedding").collect())) == want
+    assert os.path.isdir(kept)  # read by the first matrix
+    again, _ = fixture(spark)
+    assert sorted(map(repr, again.matrix("embedding").collect())) == want
+    assert not again._between.inputFiles() or not any(os.path.exists(f) for f in folders(again._between))
+    assert sorted(map(repr, again.embedding.collect())) == want
+
+
+def test_blocks_hold_no_vector_per_fit_of_contexts(spark):
+    design, _ = fixture(spark)
+    kinds = dict(design._stored("behaviour").dtypes)
+    assert kinds["tree"] == "array<float>" and not kinds["tree_late"].startswith("map")
+    rows = {r.message_id: r for r in design._stored("behaviour").collect()}
+    assert len(rows) == 90
+    for r in rows.values():
+        for level in ("tree", "branch"):  # a whole profile, what the thread says of it, or no author
+            assert (r[level] is not None) + (r[f"{level}_late"] is not None) == (r.author is not None)
+
+
+def test_last_user_features_are_joined_once_for_all_fits(spark):
+    design, _ = fixture(spark)
+    got = design.last_user_features("combined")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("last_user") == 0
+    want = design.last_user_features("combined", design.matrix("combined"))
+    found = [{(r.fit, r.split, r.message_id): r.features for r in df.collect()} for df in (got, want)]
+    assert found[0] == found[1] and len(found[0]) == 270
