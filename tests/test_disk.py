@@ -3,10 +3,12 @@
 import os
 
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from agorascope import queries
 from agorascope.operators.context import message_contexts, written_contexts
 from agorascope.settings import CLEANUP, stage, unstage
+from agorascope.plans.units import message_rows, units
 from test_units import fixture
 
 
@@ -95,3 +97,19 @@ def test_last_user_features_are_joined_once_for_all_fits(spark):
     want = design.last_user_features("combined", design.matrix("combined"))
     found = [{(r.fit, r.split, r.message_id): r.features for r in df.collect()} for df in (got, want)]
     assert found[0] == found[1] and len(found[0]) == 270
+
+
+def test_units_are_written_where_the_rows_are(spark):
+    design, e = fixture(spark)
+    kinds = {"behaviour": ("behaviour", ""), "embedding": ("embedding", "")}
+    plan = message_rows({"": design}, {"": e}, kinds)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Sort [") == 2  # what an author's rows share is packed where they are dealt
+    packed = units({"": design}, {"": e}, kinds)
+    assert "n" in packed.table.columns and packed.table.agg({"n": "sum"}).first()[0] == 90
+    seen, write = [], DataFrame.repartition
+    try:
+        DataFrame.repartition = lambda self, *a: seen.append(self.columns) or write(self, *a)
+        units({"": design}, {"": e}, kinds)
+    finally:
+        DataFrame.repartition = write
+    assert not [c for c in seen if "behaviour_of" in c]
